@@ -8,13 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import table
-from . import licenses, lines, mixing
+from . import langid, licenses, lines, maxscore, mixing, simhash, warc
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+def op4_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return maxscore.top_k(rows.where("vec_id % 50 = 0"), rows)
+
+
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select(
@@ -31,6 +51,10 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_warc_revisits": op6_warc_revisits,
+    "op7_maxscore_topk": op7_maxscore_topk,
     "op8_line_spread": op8_line_spread,
     "op10_poisson_mixing": op10_poisson_mixing,
 }

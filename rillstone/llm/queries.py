@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import table
-from . import langid, licenses, lines, maxscore, mixing, simhash, warc
+from . import decontaminate, langid, licenses, lines, maxscore, mixing, quality, simhash, warc
+
+
+def op1_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("version")
+
+
 def op4_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,9 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_templates": op1_benchmark_templates,
     "op2_license_scan": op2_license_scan,
+    "op3_kneser_ney_quality": op3_kneser_ney_quality,
     "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_warc_revisits": op6_warc_revisits,
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_benchmark_templates": decontaminate.oracle(),
     "op2_license_scan": licenses.oracle(),
     "op8_line_spread": lines.oracle(),
     "op10_poisson_mixing": mixing.oracle(),

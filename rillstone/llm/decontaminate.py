@@ -109,7 +109,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     if is_small(item_windows.select("item_hash"), BROADCAST_WINDOWS):
         item_windows = F.broadcast(item_windows)
     hits = (
-        texts.select("doc_id", "words", "marks", F.posexplode("hashes").alias("pos", "hash"))
+        # outer: for a plain explode the planner puts a filter on the array's size below, which computes all hashes again
+        texts.select("doc_id", "words", "marks", F.posexplode_outer("hashes").alias("pos", "hash"))
         .join(item_windows, F.col("hash") == F.col("item_hash"))
         # written as no equality: it would become a join key, computed for every window of every document
         .where(F.array_join(here, " ").between(F.col("item_words"), F.col("item_words")))

@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import settle
+from ..plans.scratch import settle_bucketed
 
 BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 SCHEMA = "block long, ids array<long>, versions array<long>, tags array<string>, lengths array<int>, blob binary"
 
 
@@ -26,8 +27,11 @@ def pack(
     """Blocks of about ``block_bytes`` encoded bytes (one long text may be more).  ``versions`` holds the
     hash of each text, so that rows which share an id stay apart; ``tags`` the tag column.
 
-    Block ids are random: the table is written once and only read from then on.
+    Block ids are random: the table is written once and only read from then on.  It is bucketed by block,
+    some 16 MB of text to a bucket, so that joins on the block do not move the texts.
     """
+    chars = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = min(50_000, max(8, -(-chars // BUCKET_BYTES)))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -55,7 +59,7 @@ def pack(
 
     tag = F.col(tag_col).cast("string") if tag_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)), tag, F.col(text_col).cast("string"))
-    return settle(rows.toDF("id", "version", "tag", "text").mapInArrow(run, SCHEMA), "blocks")
+    return settle_bucketed(rows.toDF("id", "version", "tag", "text").mapInArrow(run, SCHEMA), "blocks", "block", buckets)
 
 
 def unpack(blob: bytes, lengths: list[int]) -> np.ndarray:

@@ -36,6 +36,7 @@ QUANTILE = 0.995
 MARGIN = 1.25  # a document is rejected above threshold = quantile * MARGIN
 CALIBRATION = 5  # one of so many trusted texts calibrates
 LEAST_CALIBRATION = 30
+PIECE = 1 << 20  # characters whose n-grams are held at once
 PRIOR_CHARS = 40  # a short text's perplexity is drawn to the median as if it had so many characters more
 
 _classes: np.ndarray | None = None
@@ -81,9 +82,7 @@ def grams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     pad = ORDER - 1
     out = np.zeros(int(lengths.sum()) + (pad + 1) * len(lengths), np.uint32)
     starts = np.cumsum(lengths + pad + 1) - (lengths + pad + 1) + pad
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(codes)) + (starts - (np.cumsum(lengths) - lengths))[doc]
-    out[at] = codes
+    out[np.arange(len(codes)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)] = codes
     packed = out.copy()
     for back in range(1, ORDER):
         packed[back:] |= out[:-back] << np.uint32(WIDTH * back)
@@ -94,6 +93,18 @@ def grams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return packed[inside], whole[inside]
 
 
+def pieces(blob: bytes, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first document, its end, n-grams, document of each) for some PIECE characters at a time."""
+    lengths = np.asarray(lengths, np.int64)
+    codes, at, low = unpack(blob, lengths), 0, 0
+    ends = np.cumsum(lengths)
+    while low < len(lengths):
+        high = max(low + 1, int(np.searchsorted(ends, at + PIECE, side="right")))
+        code, doc = grams(codes[at : int(ends[high - 1])], lengths[low:high])
+        yield low, high, code, doc
+        at, low = int(ends[high - 1]), high
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """(doc_id) labelled good and never bad."""
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -107,13 +118,18 @@ def block_counts(blocks: DataFrame, trusted: DataFrame) -> tuple[DataFrame, Data
     train = index.where("NOT calibrates").groupBy("block").agg(F.collect_list("idx").alias("train"))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, trained = np.zeros(CLASSES**ORDER, bool), np.zeros(CLASSES**ORDER, np.int32)
         for batch in stream:
             for block, lengths, blob, train in zip(*[c.to_pylist() for c in batch.columns]):
-                code, doc = grams(unpack(blob, lengths), lengths)
                 flag = np.zeros(len(lengths), bool)
                 flag[train or []] = True
-                here = np.flatnonzero(np.bincount(code, minlength=1))
-                n = np.bincount(code[flag[doc]], minlength=int(here[-1]) + 1 if len(here) else 1)[here]
+                seen[:] = False
+                trained[:] = 0
+                for low, high, code, doc in pieces(blob, lengths):
+                    seen[code] = True
+                    np.add.at(trained, code[flag[low:high][doc]], 1)
+                here = np.flatnonzero(seen)
+                n = trained[here]
                 for at in range(0, len(here), 100_000):
                     part = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays(
@@ -184,10 +200,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             for k in range(batch.num_rows):
                 ids, versions, tags, lengths, blob, gram, logp, held = (batch.column(c)[k] for c in range(8))
                 lengths = np.array(lengths.values, np.int64)
-                code, doc = grams(unpack(blob.as_py(), lengths), lengths)
                 if gram.is_valid:
                     lookup[np.array(gram.values)] = np.array(logp.values)
-                total = np.bincount(doc, weights=lookup[code], minlength=len(lengths))
+                total = np.zeros(len(lengths))
+                for low, high, code, doc in pieces(blob.as_py(), lengths):
+                    total[low:high] = np.bincount(doc, weights=lookup[code], minlength=high - low)
                 flag = np.zeros(len(lengths), bool)
                 flag[held.as_py() or []] = True
                 ppl = np.exp(-total / (lengths + 1))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import table
-from . import decontaminate, langid, licenses, lines, maxscore, mixing, quality, simhash, warc
+from . import decontaminate, langid, licenses, lines, maxscore, mixing, quality, simhash, suffixes, warc
 
 
 def op1_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedupe(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_revisits": op6_warc_revisits,
     "op7_maxscore_topk": op7_maxscore_topk,
     "op8_line_spread": op8_line_spread,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 

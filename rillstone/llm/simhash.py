@@ -59,14 +59,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, version, fp): the fingerprint as a signed long; ``version`` is a hash of the text, which
+    keeps rows apart that share an id."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["doc_id", "version", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def _forest(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +146,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+    """(doc_id, version, fp, component_id) for every row of ``docs``."""
     prints = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), max_bits))
@@ -153,7 +155,20 @@ def near_duplicates(
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    return prints.join(by_fp, F.col("fp") == F.col("class_fp")).select("doc_id", "version", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each group: the smallest id; of rows that share it, one."""
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    first = (
+        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("component_id", "doc_id").agg(F.min("version").alias("_v")).select(F.col("doc_id").alias("_id"), "_v")
+    )
+    kept = docs.withColumn("_version", F.xxhash64(F.col(text_col))).join(
+        first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left_semi"
+    )
+    return kept.dropDuplicates([id_col, "_version"]).drop("_version")
 
 
 def hex_print(fp):

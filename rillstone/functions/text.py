@@ -148,7 +148,7 @@ def grader_tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?;\n]+"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?;\n]+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.filter(parts, lambda s: F.length(s) >= 3)
 
 

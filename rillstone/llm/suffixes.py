@@ -41,6 +41,7 @@ from .blocks import pack, unpack
 SPAN, K = 50, 24
 REACH = SPAN - K  # bytes before an anchor that its strings can reach
 HOT = 4096
+PIECE = 1 << 20  # bytes hashed at once
 SAMPLE = 20_000  # keys that the splitters are chosen from
 RANGE_BYTES = 16 << 20  # input bytes for each bucket and key range
 KEY = 1 + SPAN + REACH + 2  # kind, bytes forwards, bytes backwards, lengths of both
@@ -93,19 +94,28 @@ class Text:
         self.docs = np.searchsorted(self.ends, self.anchors, side="right")
 
     def _sample(self) -> tuple[np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        if len(self.data) < SPAN:
-            return none
-        hashed = _rolling(self.data, K)
-        least = _slide(hashed, REACH + 1, True)
-        whole = np.zeros(len(least) + 1, np.int32)  # where SPAN bytes lie within a document
+        """Positions and hashes of the anchors, found PIECE bytes at a time."""
+        n = len(self.data)
+        whole = np.zeros(n + 1, np.int8)  # where SPAN bytes lie within a document
         long = self.lengths >= SPAN
         np.add.at(whole, self.starts[long], 1)
         np.add.at(whole, self.ends[long] - SPAN + 1, -1)
-        least = np.where(np.cumsum(whole)[: len(least)] > 0, least, np.uint64(0))
-        padded = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64)])
-        at = np.flatnonzero((_slide(padded, REACH + 1, False) == hashed) & (hashed > 0))
-        return at, hashed[at]
+        whole = np.cumsum(whole, dtype=np.int8) > 0
+        ats, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for low in range(0, n, PIECE):
+            first = max(0, low - REACH)
+            seg = self.data[first : low + PIECE + SPAN]
+            if len(seg) < SPAN:
+                continue
+            hashed = _rolling(seg, K)
+            least = _slide(hashed, REACH + 1, True)
+            least = np.where(whole[first : first + len(least)], least, np.uint64(0))
+            padded = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64)])
+            at = np.flatnonzero((_slide(padded, REACH + 1, False) == hashed) & (hashed > 0))
+            at = at[(at + first >= low) & (at + first < low + PIECE)]
+            ats.append(at + first)
+            hashes.append(hashed[at])
+        return np.concatenate(ats), np.concatenate(hashes)
 
     def suffixes(self, chosen: np.ndarray) -> np.ndarray:
         """(len(chosen), KEY): key of each chosen anchor (indices into ``anchors``)."""
@@ -445,7 +455,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in stream:
             for ids, versions, lengths, blob, parts_, answers_ in zip(*[c.to_pylist() for c in batch.columns]):
                 starts, data = np.cumsum(lengths) - lengths, unpack(blob, lengths)
-                cover = np.zeros(len(data) + 1, np.int64)
+                cover = np.zeros(len(data) + 1, np.int32)
                 if parts_:
                     text, run = _run_of(ids, lengths, blob, parts_)
                     mask = np.zeros(len(run.keys), np.int64)
@@ -460,7 +470,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         at = run.position[bits >> o & 1 == 1] - o
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + SPAN, -1)
-                gone = np.cumsum(cover)[:-1] > 0
+                gone = np.cumsum(cover, dtype=np.int32)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 rows = []
                 for doc, version, start, n in zip(ids, versions, starts.tolist(), lengths):

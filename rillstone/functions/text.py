@@ -272,7 +272,7 @@ def normalize_label(value: Column) -> Column:
 
 def error_type(stderr: Column) -> Column:
     """Class name of the last line that begins with one, else ``Error``."""
-    lines = F.transform(F.split(F.coalesce(stderr, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(stderr, F.lit("")), "\n"), lambda x: F.trim(x))
     found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"^(\w+(?:Error|Exception|Interrupt|Exit))\b", 1)), lambda x: x != "")
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("Error"))
 

@@ -62,7 +62,8 @@ def balanced(pool: DataFrame, n: int) -> DataFrame:
         rest = [i for i in rows.index if i not in taken][: max(0, n - len(taken))]
         return rows.loc[taken + rest]
 
-    return pool.groupBy(F.lit(1)).applyInPandas(lambda p: pick(p[list(pool.columns)]), pool.schema)
+    columns = list(pool.columns)
+    return pool.groupBy(F.lit(1)).applyInPandas(lambda p: pick(p[columns]), pool.schema)
 
 
 def diverse(candidates: DataFrame, n: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import text
 
 # One superset schema for all banks: a missing field is null.
-CHUNK = T.StructType.fromDDL(
+CHUNK = (
     "id string, content string, "
     "interview struct<question:string,model_answer:string,key_points:array<string>,common_mistakes:array<string>,followups:array<string>>, "
     "metadata struct<module:string,topic:string,difficulty:string,tags:array<string>,frequency:int,companies:array<string>,industries:array<string>,"
@@ -35,7 +35,7 @@ def read_banks(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Chunks of all banks that exist, with ``bank``, blank lines skipped and retired rows left out."""
     present = {b: p for b, p in paths.items() if exists(spark, p)}
     if not present:
-        return spark.createDataFrame([], T.StructType([*CHUNK.fields, T.StructField("bank", T.StringType())]))
+        return spark.createDataFrame([], f"{CHUNK}, bank string")
     out = None
     for bank, path in present.items():
         one = spark.read.schema(CHUNK).json(path).withColumn("bank", F.lit(bank))
@@ -129,7 +129,7 @@ def record_sheet(sheet: DataFrame, flagged: str = "x") -> DataFrame:
     return carried.where(F.col("record").isNotNull() & (F.coalesce("flag", F.lit("")) != flagged)).drop("flag")
 
 
-NOTEBOOK = T.StructType.fromDDL("cells array<struct<cell_type:string,source:array<string>>>")
+NOTEBOOK = "cells array<struct<cell_type:string,source:array<string>>>"
 
 
 def notebook_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -216,7 +216,7 @@ def record_questions(cells: DataFrame) -> DataFrame:
     )
     body = F.when(section, rest).when(is_list | is_usual, items).otherwise(bare)
     marked = lines.withColumn("kind", kind).withColumn("body", body).where("kind <> 'drop'")
-    pieces = F.when(F.col("kind") == "list", F.filter(F.transform(F.split("body", "[；;]"), F.trim), lambda x: x != "")).otherwise(F.array("body"))
+    pieces = F.when(F.col("kind") == "list", F.filter(F.transform(F.split("body", "[；;]"), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array("body"))
     w = Window.partitionBy("id").orderBy("n")
     starts = F.col("kind").isin("start", "list") | (F.coalesce(F.lag("kind").over(w), F.lit("reset")) == "reset")
     grouped = marked.withColumn("opens", starts & (F.col("kind") != "reset")).withColumn("g", F.sum(F.when(F.col("opens") | (F.col("kind") == "reset"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))

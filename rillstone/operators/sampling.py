@@ -63,7 +63,7 @@ def balanced(pool: DataFrame, n: int) -> DataFrame:
         return rows.loc[taken + rest]
 
     columns = list(pool.columns)
-    return pool.groupBy(F.lit(1)).applyInPandas(lambda p: pick(p[columns]), pool.schema)
+    return pool.groupBy(F.lit("all")).applyInPandas(lambda p: pick(p[columns]), pool.schema)
 
 
 def diverse(candidates: DataFrame, n: int) -> DataFrame:
@@ -90,4 +90,4 @@ def diverse(candidates: DataFrame, n: int) -> DataFrame:
             out.append((r.chunk, r.sentence, len(out) + 1))
         return pd.DataFrame(out, columns=["chunk", "sentence", "place"])
 
-    return candidates.groupBy(F.lit(1)).applyInPandas(lambda p: pick(p), "chunk long, sentence string, place int")
+    return candidates.groupBy(F.lit("all")).applyInPandas(lambda p: pick(p), "chunk long, sentence string, place int")

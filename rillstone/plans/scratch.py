@@ -8,6 +8,7 @@ empty (unit tests, notebooks in local mode) is a folder made here.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -56,6 +57,18 @@ def settle_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFram
     return spark.table(name)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000):
+    """While tables of long texts are written through Python: Arrow batches of ``rows`` rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import settle_bucketed
+from ..plans.scratch import settle_bucketed, short_batches
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -59,7 +59,8 @@ def pack(
 
     tag = F.col(tag_col).cast("string") if tag_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)), tag, F.col(text_col).cast("string"))
-    return settle_bucketed(rows.toDF("id", "version", "tag", "text").mapInArrow(run, SCHEMA), "blocks", "block", buckets)
+    with short_batches(docs.sparkSession):
+        return settle_bucketed(rows.toDF("id", "version", "tag", "text").mapInArrow(run, SCHEMA), "blocks", "block", buckets)
 
 
 def unpack(blob: bytes, lengths: list[int]) -> np.ndarray:

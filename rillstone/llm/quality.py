@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import settle
@@ -142,28 +142,26 @@ def block_counts(blocks: DataFrame, trusted: DataFrame) -> tuple[DataFrame, Data
     return settle(counted, "grams"), index.where("calibrates").select("block", "idx")
 
 
-def _discounts(counts: DataFrame) -> Column:
-    """Modified Kneser-Ney discounts of an order as one struct (d1, d2, d3), from counts of counts."""
-    n = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double") for k in (1, 2, 3, 4)]
-    y = F.coalesce(F.try_divide(n[0], n[0] + 2 * n[1]), F.lit(0.0))
-    step = lambda k, default: F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(n[k], n[k - 1]), F.lit(default))))
-    return counts.agg(F.struct(step(1, 0.5).alias("d1"), step(2, 1.0).alias("d2"), step(3, 1.5).alias("d3")).alias("d"))
+def discounts(counts: DataFrame) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts of an order for counts 1, 2 and more, from four counts of counts."""
+    row = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
+    y = row[0] / (row[0] + 2 * row[1]) if row[0] else 0.0
+    return tuple(min(float(k), max(0.0, k - (k + 1) * y * row[k] / row[k - 1])) if row[k - 1] else 0.5 * k for k in (1, 2, 3))
 
 
 def log_probabilities(counted: DataFrame) -> DataFrame:
     """(gram, logp) of every n-gram that occurs in any block: joins of the asked n-grams with the counts
-    of each order, sharded by n-gram and by context."""
-    asked = counted.groupBy("gram").agg(F.sum("n").alias("n"))
-    asked = settle(asked, "counts")
-    level = asked.where("n > 0").withColumnRenamed("gram", "g")
-    levels = [level]
+    of each order, sharded by n-gram and by context.  The counts of an order are a small table each (at
+    most 64**order rows) and written once."""
+    asked = settle(counted.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    levels = [asked.where("n > 0").withColumnRenamed("gram", "g")]
     for order in range(ORDER - 1, 0, -1):  # continuation counts: in how many different contexts, one character longer
-        level = level.groupBy((F.col("g") % (CLASSES**order)).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        levels.append(level)
+        shorter = levels[-1].groupBy((F.col("g") % (CLASSES**order)).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+        levels.append(settle(shorter, f"counts{order}"))
     out = asked.select("gram").withColumn("p", F.lit(1.0 / CLASSES))
     for order, level in zip(range(1, ORDER + 1), reversed(levels)):
-        discount = F.when(F.col("n") == 1, F.col("d.d1")).when(F.col("n") == 2, F.col("d.d2")).when(F.col("n") > 2, F.col("d.d3")).otherwise(0.0)
-        level = level.crossJoin(F.broadcast(_discounts(level))).withColumn("cut", discount)
+        d1, d2, d3 = discounts(level)
+        level = level.withColumn("cut", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
         contexts = level.groupBy(F.shiftright("g", WIDTH).alias("c")).agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
         counts = level.select("g", (F.col("n") - F.col("cut")).alias("kept"))
         out = (
@@ -185,7 +183,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """(doc_id, version, lang, n_chars, perplexity, calibrates) for every row."""
     blocks = pack(docs, fold, id_col, text_col, lang_col)
     counted, calibration = block_counts(blocks, trusted_ids(labels))
-    known = log_probabilities(counted)
+    known = settle(log_probabilities(counted), "logp")
     answers = (
         counted.select("block", "gram").join(known, "gram").groupBy("block")
         .agg(F.collect_list(F.struct("gram", "logp")).alias("known"))

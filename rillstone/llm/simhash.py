@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import settle
+from ..plans.scratch import settle, short_batches
 from .components import components
 
 BITS, BYTES, SEED = 64, 8, 42
@@ -147,7 +147,8 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
     """(doc_id, version, fp, component_id) for every row of ``docs``."""
-    prints = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    with short_batches(docs.sparkSession):
+        prints = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), max_bits))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(

@@ -146,7 +146,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """(doc_id, version, fp, component_id) for every row of ``docs``."""
+    """(doc_id, version, fp, component_id, root) for every row of ``docs``; ``root`` is the component's least
+    fingerprint, its name where ids repeat."""
     with short_batches(docs.sparkSession):
         prints = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -155,8 +156,8 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("class_fp")).select("doc_id", "version", "fp", "component_id")
+    by_fp = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")
+    return prints.join(by_fp, F.col("fp") == F.col("class_fp")).select("doc_id", "version", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -164,7 +165,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     first = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", "doc_id").agg(F.min("version").alias("_v")).select(F.col("doc_id").alias("_id"), "_v")
+        .groupBy("root", "doc_id").agg(F.min("version").alias("_v")).select(F.col("doc_id").alias("_id"), "_v")
     )
     kept = docs.withColumn("_version", F.xxhash64(F.col(text_col))).join(
         first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left_semi"

@@ -120,7 +120,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     masks = [sum(0xFF << 8 * k for k in kept) for kept in combinations(range(BYTES), shared)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     posting = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)]))
-    index = prints.select("fp", posting.alias("p")).select("fp", "p.at", "p.key")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each row becomes one per mask: spread them before, the planner only sees how small they are now
+    index = prints.repartition(parts, "fp").select("fp", posting.alias("p")).select("fp", "p.at", "p.key")
     lists = index.groupBy("at", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

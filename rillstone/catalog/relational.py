@@ -109,7 +109,7 @@ both("json_props", "SELECT event_id, get_json_object(props, '$.k') AS k, length(
 both("budget_left", "SELECT user_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE greatest(20 - count(*), 0) END AS left_calls FROM {events} WHERE event_type = 'click' GROUP BY user_id")
 both("usage_row_today", "SELECT user_id, CASE WHEN max(CAST(ts AS DATE)) = DATE '2024-01-30' THEN count(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-30' THEN 1 END) ELSE 0 END AS used FROM {events} GROUP BY user_id")
 both("delete_by_owner", "SELECT count(*) AS kept, count(CASE WHEN user_id = 7 THEN 1 END) AS deleted FROM {events}")
-both("confusion_pivot", "SELECT lang, count(CASE WHEN quality = 0 THEN 1 END) AS bad, count(CASE WHEN quality = 1 THEN 1 END) AS good FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY lang")
+both("pivot_confusion", "SELECT lang, count(CASE WHEN quality = 0 THEN 1 END) AS bad, count(CASE WHEN quality = 1 THEN 1 END) AS good FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY lang")
 
 
 # State --------------------------------------------------------------------------------------------

@@ -101,20 +101,15 @@ _ABBREVIATION = re.compile(r"(?:\b(?:e\.g|i\.e|vs|etc|Dr|Mr|Ms|Mrs|St|No|Fig|app
 def spoken_sentences(text: str, final: bool = False) -> tuple[list[str], str]:
     """(finished sentences, rest): abbreviations, initials and decimals end nothing, and neither does a
     mark at the very end unless the text is final."""
-    out, start = [], 0
-    for mark in _BOUNDARY.finditer(text):
-        piece = text[start : mark.end()].strip()
-        if _ABBREVIATION.search(piece.rstrip("\"')]” ")):
-            continue
-        if not final and mark.end() == len(text):
-            break
-        if piece:
-            out.append(piece)
-        start = mark.end()
-    rest = text[start:]
-    if final and rest.strip():
-        out.append(rest.strip())
-    return out, "" if final else rest
+
+    def ends(at: int) -> bool:
+        return (final or at < len(text)) and not _ABBREVIATION.search(text[:at].rstrip("\"')]” \t\n"))
+
+    cuts = [0, *(m.end() for m in _BOUNDARY.finditer(text) if ends(m.end()))]
+    if final:
+        cuts.append(len(text))
+    pieces = (text[a:b].strip() for a, b in zip(cuts, cuts[1:]))
+    return [p for p in pieces if p], text[cuts[-1] :]
 
 
 SENTENCES = T.StructType([T.StructField("sentences", T.ArrayType(T.StringType())), T.StructField("rest", T.StringType())])

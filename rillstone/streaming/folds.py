@@ -5,86 +5,102 @@ from __future__ import annotations
 import json
 import pickle
 import re
+from typing import NamedTuple
 
 from ..functions.udfs import spoken_sentences
 
 FRAME_MS = 32.0
 
 
-class Endpointer:
-    """Turn taking from speech probabilities of 32 ms frames: speech is confirmed after ``min_speech_ms`` at
-    ``start`` or more (a dip cancels), a turn ends after ``silence_ms`` under ``end``, and a turn in which
-    nothing was said times out once."""
+class Limits(NamedTuple):
+    """Probabilities from which speech begins and under which it ends, and the times that confirm it."""
 
-    def __init__(self, start=0.5, end=0.35, min_speech_ms=190.0, silence_ms=1200.0, timeout_s=30.0):
-        self.start, self.end, self.min_speech_ms, self.silence_ms, self.timeout_ms = start, end, min_speech_ms, silence_ms, timeout_s * 1000
-        self.speaking = self.said = self.timed_out = False
-        self.pending = self.quiet = self.heard = self.held = 0.0
-        self.holds = 0
+    start: float = 0.5
+    end: float = 0.35
+    min_speech_ms: float = 190.0
+    silence_ms: float = 1200.0
+    timeout_s: float = 30.0
 
-    def hold(self, extra_ms: float) -> None:
-        """Keep a turn open that seems unfinished: it ends after ``extra_ms`` more silence."""
-        self.speaking, self.quiet, self.held = True, 0.0, extra_ms
-        self.holds += 1
+
+class Listening(NamedTuple):
+    """What is known of a turn.  ``against`` is how long the frames have spoken against the present mode."""
+
+    speaking: bool = False
+    against: float = 0.0
+    total: float = 0.0
+    said: bool = False
+    gave_up: bool = False
+    patience: float = 0.0
+
+
+def listen(now: Listening, prob: float, limits: Limits) -> tuple[Listening, str | None]:
+    """The next state and perhaps an event.  The mode flips once frames against it, without a break, last
+    as long as it takes to confirm speech or, while speaking, as long as the patience with silence."""
+    voiced = prob >= (limits.end if now.speaking else limits.start)
+    contrary = voiced != now.speaking
+    now = now._replace(total=now.total + FRAME_MS, against=now.against + FRAME_MS if contrary else 0.0)
+    if contrary and now.against >= ((now.patience or limits.silence_ms) if now.speaking else limits.min_speech_ms):
+        flipped = now._replace(speaking=not now.speaking, against=0.0, said=True, patience=0.0)
+        return flipped, "speech_start" if flipped.speaking else "end_of_turn"
+    if now.speaking and voiced:
+        return now._replace(patience=0.0), None
+    if not now.speaking and not voiced and not now.said and not now.gave_up and now.total >= limits.timeout_s * 1000:
+        return now._replace(gave_up=True), "timeout"
+    return now, None
+
+
+def hold(now: Listening, extra_ms: float) -> Listening:
+    """Keep a turn open that seems unfinished: it ends after ``extra_ms`` more silence."""
+    return now._replace(speaking=True, against=0.0, patience=extra_ms)
+
+
+class Endpoints:
+    """``listen`` over the frames of one session."""
+
+    def __init__(self, **limits):
+        self.limits, self.now = Limits(**limits), Listening()
 
     def feed(self, prob: float) -> list[str]:
-        self.heard += FRAME_MS
-        if self.speaking:
-            if prob >= self.end:
-                self.quiet = self.held = 0.0
-                return []
-            self.quiet += FRAME_MS
-            if self.quiet < (self.held or self.silence_ms):
-                return []
-            self.speaking, self.quiet, self.held = False, 0.0, 0.0
-            return ["end_of_turn"]
-        if prob >= self.start:
-            self.pending += FRAME_MS
-            if self.pending < self.min_speech_ms:
-                return []
-            self.speaking, self.said, self.pending, self.quiet = True, True, 0.0, 0.0
-            return ["speech_start"]
-        self.pending = 0.0
-        if not self.said and not self.timed_out and self.heard >= self.timeout_ms:
-            self.timed_out = True
-            return ["timeout"]
-        return []
+        self.now, event = listen(self.now, prob, self.limits)
+        return [event] if event else []
 
 
-class TurnStream:
-    """Deltas of a model's turn into speakable sentences and, after a line of dashes, a JSON trailer."""
+def parse_turn(text: str, final: bool = False) -> tuple[list[str], str | None]:
+    """(sentences that are certain, trailer after a line of dashes or None) of a turn's text so far.  Whole
+    lines are certain; of the last line only what later text cannot change, and nothing while it may still
+    become the line of dashes."""
+    dashes = re.search(r"^[^\S\n]*-{3,}[^\S\n]*(\n|\Z)" if final else r"^[^\S\n]*-{3,}[^\S\n]*\n", text, re.M)
+    spoken, trailer = (text[: dashes.start()], text[dashes.end() :]) if dashes else (text, None)
+    *lines, last = spoken.split("\n")
+    certain = [s for line in lines for s in spoken_sentences(line, True)[0]]
+    if dashes or final:
+        certain += spoken_sentences(last, True)[0]
+    elif not re.fullmatch(r"\s*-+\s*", last):
+        certain += spoken_sentences(last)[0]
+    return certain, trailer
+
+
+class Turn:
+    """A turn's state is its text so far and how many sentences were handed out; each delta hands out the
+    sentences that have become certain since."""
 
     def __init__(self):
-        self.buffer, self.trailer = "", None
+        self.text, self.given = "", 0
 
-    def feed(self, delta: str) -> list[str]:
-        if self.trailer is not None:
-            self.trailer += delta
-            return []
-        self.buffer += delta
-        out: list[str] = []
-        while "\n" in self.buffer:
-            line, self.buffer = self.buffer.split("\n", 1)
-            if re.fullmatch(r"\s*-{3,}\s*", line):
-                self.trailer, self.buffer = self.buffer, ""
-                return out
-            out += spoken_sentences(line, True)[0]
-        if not re.fullmatch(r"\s*-+\s*", self.buffer):
-            done, self.buffer = spoken_sentences(self.buffer)
-            out += done
-        return out
+    def feed(self, delta: str, final: bool = False) -> list[str]:
+        self.text += delta
+        certain, _ = parse_turn(self.text, final)
+        fresh, self.given = certain[self.given :], max(self.given, len(certain))
+        return fresh
 
     def finish(self) -> tuple[list[str], dict]:
-        out: list[str] = []
-        if self.trailer is None:
-            if not (re.fullmatch(r"\s*-+\s*", self.buffer) and self.buffer.strip()):
-                out = spoken_sentences(self.buffer, True)[0]
-            self.buffer = ""
+        """(last sentences, the trailer's object or an empty one)."""
+        late = self.feed("", True)
         try:
-            meta = json.loads((self.trailer or "").strip() or "{}")
+            meta = json.loads((parse_turn(self.text, True)[1] or "").strip() or "{}")
         except ValueError:
             meta = {}
-        return out, meta if isinstance(meta, dict) else {}
+        return late, meta if isinstance(meta, dict) else {}
 
 
 class Reconciler:

@@ -56,13 +56,13 @@ QUOTA = ("day string, event_id long, verdict string", lambda m, r: [(r.day, r.ev
 def endpoint_events(frames: DataFrame, streaming: bool = False, **settings) -> DataFrame:
     """(session, frame_no, event) from (session, frame_no, prob)."""
     f = fold_stream if streaming else fold_batch
-    return f(frames, "session", "frame_no", lambda: folds.Endpointer(**settings), ENDPOINT[1], ENDPOINT[0])
+    return f(frames, "session", "frame_no", lambda: folds.Endpoints(**settings), ENDPOINT[1], ENDPOINT[0])
 
 
 def spoken_sentences(deltas: DataFrame, streaming: bool = False) -> DataFrame:
     """(turn_id, seq, sentence) from (turn_id, seq, delta)."""
     f = fold_stream if streaming else fold_batch
-    return f(deltas, "turn_id", "seq", folds.TurnStream, SENTENCE[1], SENTENCE[0])
+    return f(deltas, "turn_id", "seq", folds.Turn, SENTENCE[1], SENTENCE[0])
 
 
 def reserve(calls: DataFrame, quota: int, key_cap: int, server_cap: int, streaming: bool = False) -> DataFrame:

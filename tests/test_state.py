@@ -56,13 +56,18 @@ def test_samplers(spark):
 
 def test_endpointer():
     def events(probs, **kw):
-        e = folds.Endpointer(**kw)
+        e = folds.Endpoints(**kw)
         return [x for p in probs for x in e.feed(p)]
 
     assert events([0.9] * 20 + [0.1] * 45) == ["speech_start", "end_of_turn"]
     assert events([0.9] * 20 + [0.1] * 30 + [0.9] * 5) == ["speech_start"]
     assert events([0.9] * 3 + [0.1] * 20) == []
     assert events([0.0] * 60, timeout_s=1.0) == ["timeout"]
+    held, limits, seen = folds.hold(folds.Listening(said=True), 320.0), folds.Limits(), []
+    for _ in range(20):
+        held, event = folds.listen(held, 0.1, limits)
+        seen.append(event)
+    assert seen.index("end_of_turn") == 9
 
 
 def test_turn_stream_any_cut():
@@ -70,7 +75,7 @@ def test_turn_stream_any_cut():
     rng = random.Random(4)
     for _ in range(30):
         cuts = sorted(rng.sample(range(1, len(text)), 5))
-        stream, out = folds.TurnStream(), []
+        stream, out = folds.Turn(), []
         for a, b in zip([0, *cuts], [*cuts, len(text)]):
             out += stream.feed(text[a:b])
         late, meta = stream.finish()

@@ -5,7 +5,8 @@ A fingerprint has 64 bits, seen as 8 positional bytes.  Two fingerprints that di
 bytes: the guaranteed minimum matches.  Single-byte postings hold 1/256 of all rows and counting their
 pairs grows with the square of the input, so the index is keyed by as many positional bytes as the
 minimum asks for at once: whoever meets under a key has tallied that many matches.  Under a key the
-pairs are verified by their differing bits, and only links of a spanning forest leave the task.
+pairs are verified by their differing bits, and only links from each component to its smallest member
+leave the task.
 
 Keys leave ``max_bits`` bytes open, so a posting list holds at most 256 ** max_bits different
 fingerprints; long lists are linked by looking up the neighbours of each fingerprint rather than by
@@ -72,8 +73,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _forest(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smaller index first) of a spanning forest of ``prints`` (sorted, distinct, uint64), where
-    neighbours differ in at most ``max_bits`` bits."""
+    """(root, member) indices for every member but the root of each component of ``prints`` (sorted,
+    distinct, uint64), where neighbours differ in at most ``max_bits`` bits: as many pairs as a spanning
+    forest has, each to the component's smallest fingerprint."""
     n = len(prints)
     root = np.arange(n)
 
@@ -121,8 +123,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     posting = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)]))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # each row becomes one per mask: spread them before, the planner only sees how small they are now
-    index = prints.repartition(parts, "fp").select("fp", posting.alias("p")).select("fp", "p.at", "p.key")
+    # each row becomes one per mask: spread them before, the planner only sees how small they are now (by a
+    # hash of the print: it would drop a repartition by the key that the rows are grouped by already)
+    index = prints.repartition(parts, F.xxhash64("fp")).select("fp", posting.alias("p")).select("fp", "p.at", "p.key")
     lists = index.groupBy("at", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

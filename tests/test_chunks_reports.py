@@ -57,9 +57,9 @@ def test_parents_and_mentions(spark):
     bank = frame(spark, [("a", "text", None, "Drift"), ("b", "text", "a", "Drift"), ("c", "", None, "Drift"), ("d", "text", None, "Trees"), ("e", "text", None, "drift two")], "id string, content string, expanded_from string, topic string")
     bank = bank.select("id", "content", F.struct("expanded_from", "topic").alias("metadata"))
     assert [r.id for r in C.parents(bank, frame(spark, [("e",)], "parent string"), "drift").collect()] == ["a"]
-    rows = frame(spark, [("kal_001_x",), ("kal_002_y",), ("n1",)], "id string")
-    notes = frame(spark, [("n1", "see kal_001 and kal_002, kal_001")], "note_id string, note string")
-    assert C.mentioned(notes, rows).first().ids == ["kal_001_x", "kal_002_y"]
+    rows = frame(spark, [("row_001_x",), ("row_002_y",), ("n1",)], "id string")
+    notes = frame(spark, [("n1", "see row_001 and row_002, row_001")], "note_id string, note string")
+    assert C.mentioned(notes, rows).first().ids == ["row_001_x", "row_002_y"]
 
 
 def test_parse_and_json(spark):

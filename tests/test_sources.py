@@ -73,8 +73,8 @@ def test_markdown_lists(spark):
     md = "# T\n## Basic\n\n### 1. First one?\n<details><summary>Answer</summary>\nYes\n```mermaid\ngraph\n```\n</details>\n\n### 2. Second?\nx\n## Advanced\n### 3. Third?\n<details>\nNo\n</details>\n"
     got = [(r.num, r.tier, r.question, r.answer) for r in readers.tiered_questions(spark.createDataFrame([("04-x", md)], "folder string, text string")).orderBy("num").collect()]
     assert got == [(1, "basic", "First one?", "Yes"), (2, "basic", "Second?", ""), (3, "advanced", "Third?", "No")]
-    kal = "## ❓ Q1: What is RAG?\n### Answer\nRetrieval.\n---\nad\n## Q2: KV cache?\nCache.\n"
-    got = [(r.num, r.question, r.answer) for r in readers.numbered_questions(spark.createDataFrame([("QA_1.md", kal)], "name string, text string")).orderBy("num").collect()]
+    plain = "## ❓ Q1: What is RAG?\n### Answer\nRetrieval.\n---\nad\n## Q2: KV cache?\nCache.\n"
+    got = [(r.num, r.question, r.answer) for r in readers.numbered_questions(spark.createDataFrame([("QA_1.md", plain)], "name string, text string")).orderBy("num").collect()]
     assert got == [(1, "What is RAG?", "Retrieval."), (2, "KV cache?", "Cache.")]
 
 

@@ -167,7 +167,11 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group: the smallest id; of rows that share it, one."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, max_bits), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each group in ``found`` (doc_id, version, component_id, root)."""
     first = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "doc_id").agg(F.min("version").alias("_v")).select(F.col("doc_id").alias("_id"), "_v")

@@ -8,6 +8,10 @@ slots' values are paired up, and they must stand for each other one to one.  A d
 by an item if one consistent diagonal covers at least COVERAGE of the item's windows.  Items shorter than
 a window must equal a document's whole template.  All steps are DataFrame functions.
 
+``drop_contaminated`` also drops what ``embedded`` finds: items with changed, inserted or dropped words.
+There, windows of SEED words on neighbouring diagonals are added up, and COVERAGE of the item's words must
+be covered; items of fewer than WINDOW words must be covered whole.
+
 The benchmark's windows are broadcast while they are few (counted first); a larger benchmark is joined by
 a shuffle of the hashes.  Only matches are ever grouped, per document, item and diagonal, which bounds a
 group by the item's length.
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from ..plans.broadcasts import is_small
 
 WINDOW, COVERAGE = 8, 0.8
+SEED, SHIFT = 4, 0.2  # embedded items: words of a window; by how many of an item's words diagonals may lie apart
 BROADCAST_WINDOWS = 1_000_000
 
 # Unit words that count as such right after a number.
@@ -73,19 +78,19 @@ def _shifted(hashes: Column, by: int) -> Column:
     return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 1 + by, n), lambda a, b: F.xxhash64(a, b))
 
 
-def prepare(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+def prepare(df: DataFrame, id_col: str, text_col: str, name: str, window: int = WINDOW) -> DataFrame:
     """(name, marks, words, hashes): marked words, template words and the hash of the window at each
-    position (WINDOW is a power of two: windows are hashed by doubling).  A text of fewer words has one
+    position (``window`` is a power of two: windows are hashed by doubling).  A text of fewer words has one
     hash, of the whole, which equals no window's."""
     out = df.select(F.col(id_col).alias(name), F.split(marked(F.col(text_col)), " ").alias("marks"))
     out = out.withColumn("words", F.transform("marks", template_word))
     out = out.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     width = 1
-    while width < WINDOW:
+    while width < window:
         out = out.withColumn("hashes", _shifted(F.col("hashes"), width))
         width *= 2
     whole = F.array(F.xxhash64(F.lit("whole"), F.array_join("words", " ")))
-    return out.withColumn("hashes", F.when(F.size("words") < WINDOW, whole).otherwise(F.col("hashes")))
+    return out.withColumn("hashes", F.when(F.size("words") < window, whole).otherwise(F.col("hashes")))
 
 
 def _slots(words: Column, marks: Column, at: Column) -> Column:
@@ -94,28 +99,33 @@ def _slots(words: Column, marks: Column, at: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: p["w"].isin(NUMBER, NAME, UNIT)), lambda p: F.struct(p["at"].alias("at"), p["m"].alias("m")))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, coverage, slots, changed): the best consistent diagonal of
-    each contaminated document and item; ``changed`` counts the slots with another value."""
-    texts = prepare(docs, id_col, text_col, "doc_id")
-    items = prepare(benchmark, item_id, item_text, "item_id").where("words[0] <> ''")
-    here = F.slice("words", F.col("pos") + 1, WINDOW)
-    slots = _slots(here, F.slice("marks", F.col("pos") + 1, WINDOW), F.col("pos"))
+def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int) -> DataFrame:
+    """(doc_id, item_id, n_words, item_windows, item_pos, diagonal, item_slots, doc_slots): equal windows."""
+    texts = prepare(docs, id_col, text_col, "doc_id", window)
+    items = prepare(benchmark, item_id, item_text, "item_id", window).where("words[0] <> ''")
+    here = F.slice("words", F.col("pos") + 1, window)
+    slots = _slots(here, F.slice("marks", F.col("pos") + 1, window), F.col("pos"))
     item_windows = (
         items.withColumn("item_windows", F.size("hashes"))
         .select("item_id", "item_windows", "words", "marks", F.posexplode("hashes").alias("pos", "hash"))
-        .select("item_id", "item_windows", F.col("pos").alias("item_pos"), F.col("hash").alias("item_hash"), F.array_join(here, " ").alias("item_words"), slots.alias("item_slots"))
+        .select("item_id", F.size("words").alias("n_words"), "item_windows", F.col("pos").alias("item_pos"), F.col("hash").alias("item_hash"), F.array_join(here, " ").alias("item_words"), slots.alias("item_slots"))
     )
     if is_small(item_windows.select("item_hash"), BROADCAST_WINDOWS):
         item_windows = F.broadcast(item_windows)
-    hits = (
+    return (
         # outer: for a plain explode the planner puts a filter on the array's size below, which computes all hashes again
         texts.select("doc_id", "words", "marks", F.posexplode_outer("hashes").alias("pos", "hash"))
         .join(item_windows, F.col("hash") == F.col("item_hash"))
         # written as no equality: it would become a join key, computed for every window of every document
         .where(F.array_join(here, " ").between(F.col("item_words"), F.col("item_words")))
-        .select("doc_id", "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_slots", slots.alias("doc_slots"))
+        .select("doc_id", "item_id", "n_words", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_slots", slots.alias("doc_slots"))
     )
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, windows, item_windows, coverage, slots, changed): the best consistent diagonal of
+    each contaminated document and item; ``changed`` counts the slots with another value."""
+    hits = _hits(docs, benchmark, id_col, text_col, item_id, item_text, WINDOW)
     paired = F.zip_with("item_slots", "doc_slots", lambda i, d: F.struct(i["at"].alias("at"), i["m"].alias("i"), d["m"].alias("d")))
     lines = (
         hits.groupBy("doc_id", "item_id", "item_windows", "diagonal")
@@ -138,9 +148,49 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     )
 
 
+def embedded(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id) of documents that hold an item with few words changed, inserted or dropped.
+
+    Diagonals up to SHIFT of the item's words apart are taken together, those of most words first; each
+    adds the words that none before it covers, unless their slots contradict.  An item of fewer than
+    WINDOW words must be covered whole, with SEED ordinary words; of fewer than SEED, ``matches`` decides.
+    """
+    hits = _hits(docs, benchmark, id_col, text_col, item_id, item_text, SEED).where(F.col("n_words") >= SEED)
+    paired = F.zip_with("item_slots", "doc_slots", lambda i, d: F.struct(i["at"].alias("at"), i["m"].alias("i"), d["m"].alias("d")))
+    covers = F.transform(F.collect_set("item_pos"), lambda p: F.sequence(p, p + SEED - 1))
+    lines = (
+        hits.groupBy("doc_id", "item_id", "n_words", "diagonal")
+        .agg(F.array_distinct(F.flatten(covers)).alias("at"), F.array_distinct(F.flatten(F.collect_set(paired))).alias("pairs"))
+    )
+    long = F.col("n_words") >= WINDOW
+    need = F.when(long, F.ceil(F.col("n_words") * COVERAGE)).otherwise(F.col("n_words"))
+    # bands overlap by half: diagonals that may go together have one in common
+    half = F.when(long, F.floor(F.col("n_words") * SHIFT)).otherwise(0) + 1
+    band = F.floor(F.col("diagonal") / half)
+    bands = (
+        lines.withColumn("band", F.explode(F.array(band, band - 1)))
+        .groupBy("doc_id", "item_id", "n_words", "band")
+        .agg(F.sort_array(F.collect_list(F.struct(F.size("at").alias("n"), "diagonal", "at", "pairs")), asc=False).alias("lines"))
+        .where(F.size(F.array_distinct(F.flatten(F.col("lines.at")))) >= need)
+    )
+    distinct = lambda pairs, f: F.size(F.array_distinct(F.transform(pairs, f)))
+
+    def add(held: Column, line: Column) -> Column:
+        fresh = F.array_except(line["at"], held["at"])
+        pairs = F.concat(held["pairs"], F.filter(line["pairs"], lambda p: F.array_contains(fresh, p["at"])))
+        n = distinct(pairs, lambda p: F.struct(p["i"], p["d"]))
+        fits = (n == distinct(pairs, lambda p: p["i"])) & (n == distinct(pairs, lambda p: p["d"]))
+        return F.when(fits, F.struct(F.concat(held["at"], fresh).alias("at"), pairs.alias("pairs"))).otherwise(held)
+
+    nothing = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<struct<at:int,i:string,d:string>>").alias("pairs"))
+    found = bands.withColumn("all", F.aggregate("lines", nothing, add)).where(F.size("all.at") >= need)
+    return found.where(long | (F.col("n_words") - F.size("all.pairs") >= SEED)).select("doc_id", "item_id").distinct()
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id no benchmark item contaminates, columns unchanged."""
-    gone = matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
+    found = matches(docs, benchmark, id_col, text_col).select("doc_id").union(embedded(docs, benchmark, id_col, text_col).select("doc_id"))
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
 
 

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from rillstone.llm import nearcopies
+from rillstone.llm import decontaminate, nearcopies
 from tests.llm.test_operators import ODD, docs
 
 
@@ -52,3 +52,26 @@ def test_near_copies_odd_cases(spark):
     assert kept.columns == docs(spark, []).columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 6, 7]
     assert nearcopies.near_copies(docs(spark, [])).count() == 0
+
+
+# decontamination --------------------------------------------------------------------------------------
+def test_embedded_items(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    rows, around = [], ["some", "filler", "stands", "around", "it"]
+    for i, t in items:
+        w = t.split()
+        half = len(w) // 2
+        changed, inserted, dropped = [*w[:half], "zzz", *w[half + 1 :]], [*w[:half], "zzz", *w[half:]], [*w[:half], *w[half + 1 :]]
+        rows += [(10 * i + k, " ".join([*around, *x, *around]), "en", "a") for k, x in enumerate((w, changed, inserted, dropped, w[half:]))]
+    got = {tuple(r) for r in decontaminate.embedded(docs(spark, rows), bench).collect()}
+    assert got >= {(10 * i + k, i) for i, _ in items for k in range(4)}
+    assert not any(d % 10 == 4 and d // 10 == i for d, i in got)  # half an item
+    kept = decontaminate.drop_contaminated(docs(spark, rows), bench)
+    assert all(r.doc_id % 10 == 4 for r in kept.select("doc_id").collect())
+
+
+def test_short_embedded_items(spark):
+    bench = spark.createDataFrame([(1, "green ideas sleep quite furiously"), (2, "two words")], "item_id long, text string")
+    rows = [(1, "they say green ideas sleep quite furiously at night", "en", "a"), (2, "they say green ideas sleep quite badly", "en", "a"), (3, "two words more", "en", "a")]
+    assert [tuple(r) for r in decontaminate.embedded(docs(spark, rows), bench).collect()] == [(1, 1)]

@@ -299,16 +299,28 @@ def test_suffixes(spark, monkeypatch, hot, piece):
 
 def test_merge_is_sorted():
     rng = random.Random(9)
-    runs, every = [], []
+    codes, keys, every = [], [], []
     for r in range(5):
-        keys = sorted({bytes([1] + [rng.randint(97, 98) for _ in range(suffixes.KEY - 1)]) for _ in range(40)})
-        shared = [0] + [next(i for i in range(suffixes.KEY) if a[i] != b[i]) for a, b in zip(keys, keys[1:])]
-        runs.append((bytes(shared), b"".join(k[s:] for k, s in zip(keys, shared)), list(range(len(keys)))))
-        every += keys
-    got = list(suffixes.merged(runs))
-    assert [g[1] for g in got] == sorted(every)
-    for a, b in zip(got, got[1:]):
-        assert b[0] == next((i for i in range(suffixes.KEY) if a[1][i] != b[1][i]), suffixes.KEY)
+        run = sorted({bytes([1] + [rng.randint(97, 98) for _ in range(suffixes.KEY - 1)]) for _ in range(40)})
+        run += [run[-1][:-1] + bytes([c]) for c in (120, 121)]
+        words = suffixes._words(np.frombuffer(b"".join(run), np.uint8).reshape(-1, suffixes.KEY))
+        shared = np.zeros(len(words), np.uint8)
+        shared[1:] = (words[1:] != words[:-1]).argmax(axis=1)
+        rest = words[np.arange(suffixes.WORDS)[None, :] >= shared[:, None]]
+        back, code = suffixes._decode(shared.tobytes(), suffixes._pack(np.ascontiguousarray(rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:])))
+        assert (back == words).all() and suffixes._bytes(back).tobytes() == b"".join(run)
+        codes.append(code.tolist())
+        keys.append(b"".join(run))
+        every += run
+    keys.append(keys[0])  # the same run twice
+    codes.append(codes[0])
+    every += [keys[0][k : k + suffixes.KEY] for k in range(0, len(keys[0]), suffixes.KEY)]
+    runs, entries, out = suffixes.merged(codes, keys)
+    got = [keys[r][e * suffixes.KEY : (e + 1) * suffixes.KEY] for r, e in zip(runs, entries)]
+    assert got == sorted(every)
+    for a, b, c in zip(got, got[1:], out[1:]):
+        k = next((i for i in range(suffixes.WORDS) if a[7 * i : 7 * i + 7] != b[7 * i : 7 * i + 7]), suffixes.WORDS)
+        assert suffixes.WORDS - (c >> 56) == k
 
 
 # 10 -------------------------------------------------------------------------------------------------

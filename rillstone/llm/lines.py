@@ -1,15 +1,17 @@
 """Line dedup by distinct-site spread.
 
 A line's spread is the number of distinct sites it occurs on.  HyperLogLog sketches of the sites are
-built per line digest before the shuffle and merged after it; lines whose estimate lies within the
-error band around the threshold get an exact distinct count.  A line on at least ``min_sites`` sites is
-boilerplate and leaves every document but the one that has it first (smallest id, then smallest line
+built per line digest before the shuffle, straight from the occurrences, and merged after it: a row per
+line and task moves, however many sites a line has.  Lines whose estimate lies within the error band
+around the threshold, and only these, get an exact distinct count.  A line on at least ``min_sites`` sites
+is boilerplate and leaves every document but the one that has it first (smallest id, then smallest line
 number), so nothing is lost from the corpus altogether.  All steps are DataFrame functions.
 
 Cases: null or empty texts have no lines and stay as they are; blank lines are never boilerplate; a
 null site counts as one site of its own; null ids sort before all others; rows with equal id and text
-are equal and lose the same lines (the first occurrence stays in each of them).  Lines are compared
-after trimming spaces; digests are 128 bits wide.
+are equal and lose the same lines (the first occurrence stays in each of them); rows that share an id but
+not the text are different documents; other columns may have any name; an empty table gives an empty one.
+Lines are compared after trimming spaces; digests are 128 bits wide.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import settle
+from .rows import held, version_of
+
 MIN_SITES = 5
 LG_K = 12
 SALTS = 16
@@ -36,10 +41,10 @@ def band(min_sites: int, lg_k: int) -> tuple[float, float]:
 def occurrences(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(doc, version, site, line_no, line): a 16-byte digest for each line that is not blank."""
     base = docs.select(
-        F.col(id_col).alias("doc"),
-        F.xxhash64(F.col(text_col)).alias("version"),
-        F.col(site_col).cast("string").alias("site"),
-        F.posexplode(_lines(F.col(text_col))).alias("line_no", "line_text"),
+        F.col(f"`{id_col}`").alias("doc"),
+        version_of(text_col).alias("version"),
+        F.col(f"`{site_col}`").cast("string").alias("site"),
+        F.posexplode(_lines(F.col(f"`{text_col}`").cast("string"))).alias("line_no", "line_text"),
     )
     return base.select("doc", "version", "site", "line_no", F.trim("line_text").alias("line_text")).where("line_text <> ''").select(
         "doc", "version", "site", "line_no", F.unhex(F.md5("line_text")).alias("line")
@@ -47,33 +52,26 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> D
 
 
 def spread(seen: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """(line, first): digest and first occurrence of each line on ``min_sites`` or more sites.
+    """(line, first, sites): digest, first occurrence and spread of each line on ``min_sites`` or more sites.
 
-    Two aggregations: occurrences shrink to one row per (line, site) - a hot line has few sites, a hot
-    site's lines stay apart - and then to one sketch per line.
-    """
+    Sketches merge by aggregation, a hot line's in every task first.  The exact count groups (line, site)
+    of the few lines in the band: neither a hot line nor a hot site is one group before it is counted."""
     site = F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("n"))
-    by_site = seen.groupBy("line", site.alias("site")).agg(
-        F.min(F.struct("doc", "version", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")
-    )
     low, high = band(min_sites, lg_k)
     sketched = (
-        by_site.groupBy("line")
+        seen.groupBy("line")
         .agg(
-            F.min("first").alias("first"),
-            F.sum("n").alias("n"),
-            F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"),
+            F.min(F.struct("doc", "version", "line_no")).alias("first"),
+            F.count(F.lit(1)).alias("n"),
+            F.hll_sketch_agg(site, F.lit(lg_k)).alias("sketch"),
         )
         .where(F.col("n") >= min_sites)
         .select("line", "first", F.hll_sketch_estimate("sketch").alias("sites"))
         .where(F.col("sites") > low)
     )
+    sketched = settle(sketched, "spread-lines")
     near = sketched.where(F.col("sites") < high).select("line")
-    exact = (
-        by_site.join(near, "line", "left_semi")
-        .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("exact_sites"))
-    )
+    exact = seen.join(near, "line", "left_semi").groupBy("line", site.alias("site")).agg(F.count(F.lit(1)).alias("n")).groupBy("line").agg(F.count(F.lit(1)).alias("exact_sites"))
     return (
         sketched.join(exact, "line", "left")
         .where(F.coalesce("exact_sites", "sites") >= min_sites)
@@ -88,9 +86,10 @@ def drop_boilerplate(
     id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
+    counts: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """``docs`` with boilerplate lines removed from the text, and the columns ``_lines`` (line count
-    before) and ``_removed`` (lines removed).  The hits of one hot line are spread over salts."""
+    """``docs`` with boilerplate lines removed from the text.  ``counts`` names two more columns: lines
+    before, and lines removed (``rows.free`` finds names).  The hits of a hot line are spread over salts."""
     seen = occurrences(docs, id_col, text_col, site_col)
     salt = F.pmod(F.xxhash64("doc", "version", "line_no"), F.lit(SALTS)).cast("int")
     widespread = spread(seen, min_sites, lg_k).withColumn(
@@ -100,23 +99,25 @@ def drop_boilerplate(
         seen.select("doc", "version", "line_no", "line", salt.alias("salt"))
         .join(widespread, ["line", "salt"])
         .where(~F.struct("doc", "version", "line_no").eqNullSafe(F.col("first")))
-        .groupBy("doc", "version")
-        .agg(F.collect_set("line_no").alias("_gone"))
-    )
-    keyed = docs.withColumn("_version", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(
-        hits, F.col(id_col).eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left"
+        .groupBy(F.col("doc").alias("hit_doc"), F.col("version").alias("hit_version"))
+        .agg(F.collect_set("line_no").alias("gone"))
     )
-    parts = _lines(F.col(text_col))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return joined.select(
-        *[
-            (F.when(F.col("_gone").isNull(), keyed[c]).otherwise(kept).alias(c) if c == text_col else keyed[c])
-            for c in docs.columns
-        ],
-        F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(parts)).alias("_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("_removed"),
+    joined = held(docs, id_col, text_col).join(
+        hits, F.col("doc").eqNullSafe(F.col("hit_doc")) & (F.col("version") == F.col("hit_version")), "left"
     )
+    text = F.col("row").getField(text_col).cast("string")
+    cut = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), _lines(text)).alias("parts"), _lines(text).alias("every"))
+    # sets of places, so a long document costs no more than its lines
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")
+    fields = [
+        F.when(F.col("gone").isNull(), F.col("row").getField(c)).otherwise(kept).alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+        for c in docs.columns
+    ]
+    if counts is None:
+        return cut.select(*fields)
+    n_lines = F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size("every"))
+    return cut.select(*fields, n_lines.alias(counts[0]), F.coalesce(F.size("gone"), F.lit(0)).alias(counts[1]))
 
 
 def oracle(min_sites: int = MIN_SITES) -> str:

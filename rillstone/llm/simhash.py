@@ -1,16 +1,18 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 A fingerprint has 64 bits, seen as 8 positional bytes.  Two fingerprints that differ in at most
-``max_bits`` bits differ in at most that many bytes, so they share at least ``8 - max_bits`` positional
-bytes: the guaranteed minimum matches.  Single-byte postings hold 1/256 of all rows and counting their
-pairs grows with the square of the input, so the index is keyed by as many positional bytes as the
-minimum asks for at once: whoever meets under a key has tallied that many matches.  Under a key the
-pairs are verified by their differing bits, and only links from each component to its smallest member
-leave the task.
-
-Keys leave ``max_bits`` bytes open, so a posting list holds at most 256 ** max_bits different
-fingerprints; long lists are linked by looking up the neighbours of each fingerprint rather than by
-comparing all pairs.  Equal fingerprints are one entry throughout.
+``max_bits`` bits differ in at most that many bytes, so they share at least ``8 - max_bits`` = m positional
+bytes.  Postings of single bytes hold 1/256 of all rows, and counting their pairs grows with the square of
+the input; the index is keyed by m - 1 positional bytes at a time instead (70 keys of 32 bits for 3 bits).
+A pair with m bytes in common meets under m of these keys at least: the guaranteed minimum matches.  How
+often each pair meets is tallied, pairs below the minimum go, and the others are verified by their
+differing bits.
+
+Long posting lists (more than LONG) are not written out as pairs: there, links from each component of the
+list to its smallest member are found and verified on the spot, by comparing blocks or, beyond ALL_PAIRS,
+by looking up the neighbours of each fingerprint, which is linear.  Such links count as the minimum at
+once, so no pair depends on a tally that a long list has left out.  Equal fingerprints are one entry
+throughout.
 
 Cases: null and empty texts and texts without words have fingerprint zero and are linked like any
 other; a text of fewer words than a shingle is one shingle; repeated rows and repeated ids get the same
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,11 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import settle, short_batches
 from .components import components
+from .rows import held
 
 BITS, BYTES, SEED = 64, 8, 42
 SHINGLE, MAX_BITS = 3, 3
+LONG = 48  # posting lists up to here give their pairs to the tally
 ALL_PAIRS = 3000  # posting lists up to here are compared pair by pair, in blocks
 BLOCK = 1024
 HASHES = 400_000  # shingles of one text whose bits are counted at once
@@ -119,7 +124,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(u, v): links between different fingerprints (column ``fp``, distinct) that connect all that
     differ in at most ``max_bits`` bits."""
     shared = BYTES - max_bits
-    masks = [sum(0xFF << 8 * k for k in kept) for kept in combinations(range(BYTES), shared)]
+    width = max(1, shared - 1)
+    least = comb(shared, width)
+    masks = [sum(0xFF << 8 * k for k in kept) for kept in combinations(range(BYTES), width)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     posting = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)]))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -128,24 +135,24 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     index = prints.repartition(parts, F.xxhash64("fp")).select("fp", posting.alias("p")).select("fp", "p.at", "p.key")
     lists = index.groupBy("at", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
-    def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A pair for each time it meets in a short list; the verified links of a long one, with the minimum."""
         for batch in stream:
-            us, vs = [], []
+            us, vs, ns = [], [], []
             for fps in batch.column(0):
                 fp = np.sort(np.array(fps.values, np.int64).view(np.uint64))
-                if len(fp) == 2:
-                    if int(fp[0] ^ fp[1]).bit_count() <= max_bits:
-                        us.append(fp[:1])
-                        vs.append(fp[1:])
-                    continue
-                a, b = _forest(fp, max_bits)
+                if len(fp) <= LONG:
+                    a, b = np.triu_indices(len(fp), 1)
+                else:
+                    a, b = _forest(fp, max_bits)
                 us.append(fp[a])
                 vs.append(fp[b])
-            if us:
-                u, v = (np.concatenate(x).view(np.int64) for x in (us, vs))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                ns.append(np.full(len(a), 1 if len(fp) <= LONG else least))
+            u, v = (np.concatenate(x).view(np.int64) for x in (us, vs)) if us else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate(ns) if ns else u, pa.int64())], ["u", "v", "n"])
 
-    return lists.select("fps").mapInArrow(verify, "u long, v long").distinct()
+    tallied = lists.select("fps").mapInArrow(meet, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return tallied.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
 
 
 def near_duplicates(
@@ -174,12 +181,11 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
     """``docs`` with one row of each group in ``found`` (doc_id, version, component_id, root)."""
     first = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root", "doc_id").agg(F.min("version").alias("_v")).select(F.col("doc_id").alias("_id"), "_v")
+        .groupBy("root", "doc_id").agg(F.min("version").alias("first_version")).select(F.col("doc_id").alias("first_doc"), "first_version").distinct()
     )
-    kept = docs.withColumn("_version", F.xxhash64(F.col(text_col))).join(
-        first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left_semi"
-    )
-    return kept.dropDuplicates([id_col, "_version"]).drop("_version")
+    rows = held(docs, id_col, text_col).withColumn("doc", F.col("doc").cast("long"))
+    kept = rows.join(first, F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("version") == F.col("first_version")), "left_semi")
+    return kept.dropDuplicates(["doc", "version"]).select("row.*")
 
 
 def hex_print(fp):

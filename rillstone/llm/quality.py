@@ -1,25 +1,27 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model works on characters folded to 64 classes (letters with case but without accents, digits,
-kinds of punctuation, one class for other scripts), order 4, so there are at most 64**4 n-grams, however
-large the corpus.  Trusted texts are those labelled good; four fifths of them (by a hash of the id) are
+The model works on characters, order 5, every n-gram one 60-bit number: code points below 2048 (Latin, Greek,
+Cyrillic, Hebrew, Arabic and what lies between) stand for themselves, case and accents included, and the
+others are hashed to as many further classes, so no script is folded into another and the table of n-grams
+grows with the text.  Trusted texts are those labelled good; four fifths of them (by a hash of the id) are
 counted, all of them, the rest calibrate.  The counts are sharded by n-gram: each block of documents
-sends its distinct n-grams, these meet the counts of all four orders in joins keyed by n-gram and
+sends its distinct n-grams, these meet the counts of all orders in joins keyed by n-gram and
 context, and the resulting log probabilities go back to the block that asked.  A document's score is
 its perplexity per character, drawn to the language's median as if the text were PRIOR_CHARS longer, so
 that a few words do not count as evidence.  A language's threshold is a quantile of the scores of its
-calibration texts, times MARGIN; documents above it go.
+calibration texts, times MARGIN; documents above it go.  Quantiles of a language with few calibration texts
+are drawn to those of all of them, as if PRIOR_TEXTS texts more had the latter.
 
 Cases: null and empty texts have no characters, perplexity null, and are rejected (``keep`` false);
-a null language, and one with few calibration texts, takes the threshold of all calibration texts; if
+a null language, and one without calibration texts, takes the threshold of all calibration texts; if
 there are none, all documents with characters are kept; an id with contradicting labels is not trusted;
-null ids are never trusted; rows are scored one by one, repeated or not.  Only id, text and language are
-read; the stage returns the documents' own columns whatever they are called.
+null ids are never trusted; rows are scored one by one, repeated or not, also where they share an id; empty
+tables give empty results.  Only id, text and language are read; the stage returns the documents' own
+columns whatever they are called.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,50 +31,25 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import settle
 from .blocks import pack, unpack
+from .rows import without
 
-ORDER, WIDTH = 4, 6  # bits per class
+ORDER, WIDTH = 5, 12  # bits per class
 CLASSES = 1 << WIDTH
+EXACT = CLASSES // 2  # code points below stand for themselves
 QUANTILE = 0.995
 MARGIN = 1.25  # a document is rejected above threshold = quantile * MARGIN
 CALIBRATION = 5  # one of so many trusted texts calibrates
-LEAST_CALIBRATION = 30
+PRIOR_TEXTS = 30
 PIECE = 1 << 20  # characters whose n-grams are held at once
+BLOCK_BYTES = 32 << 20  # two bytes a character
 PRIOR_CHARS = 40  # a short text's perplexity is drawn to the median as if it had so many characters more
 
-_classes: np.ndarray | None = None
-
-
-def class_of(char: str) -> int:
-    if char == " ":
-        return 1
-    if char in "\n\r\t\x0b\x0c":
-        return 2
-    if char.isdigit():
-        return 3
-    if char in ".,":
-        return 4 + ".,".index(char)
-    if char in "'’\"-–—":
-        return 6
-    if char in "()[]{};:":
-        return 7
-    if char in "!?¡¿":
-        return 8
-    if char.isalpha():
-        base = unicodedata.normalize("NFD", char)[0]
-        if "a" <= base <= "z":
-            return 11 + ord(base) - ord("a")
-        if "A" <= base <= "Z":
-            return 37 + ord(base) - ord("A")
-        return 63
-    return 9 if ord(char) < 128 else 10
-
 
 def fold(text: str) -> bytes:
-    """One byte per character: its class (0 stands for the ends of a text)."""
-    global _classes
-    if _classes is None:
-        _classes = np.fromiter((class_of(chr(i)) for i in range(0x110000)), np.uint8, 0x110000)
-    return _classes[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].tobytes()
+    """Two bytes per character: its class (0 stands for the ends of a text)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    far = np.uint64(EXACT) + (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - WIDTH))
+    return np.where(codes < EXACT, np.maximum(codes, np.uint64(1)), far).astype(np.uint16).tobytes()
 
 
 def grams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +57,12 @@ def grams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     in front and one behind."""
     lengths = np.asarray(lengths, np.int64)
     pad = ORDER - 1
-    out = np.zeros(int(lengths.sum()) + (pad + 1) * len(lengths), np.uint32)
+    out = np.zeros(int(lengths.sum()) + (pad + 1) * len(lengths), np.int64)
     starts = np.cumsum(lengths + pad + 1) - (lengths + pad + 1) + pad
     out[np.arange(len(codes)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)] = codes
     packed = out.copy()
     for back in range(1, ORDER):
-        packed[back:] |= out[:-back] << np.uint32(WIDTH * back)
+        packed[back:] |= out[:-back] << np.int64(WIDTH * back)
     whole = np.repeat(np.arange(len(lengths)), lengths + pad + 1)
     inside = np.ones(len(out), bool)
     for k in range(pad):
@@ -94,9 +71,10 @@ def grams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pieces(blob: bytes, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first document, its end, n-grams, document of each) for some PIECE characters at a time."""
+    """(first document, its end, n-grams, document of each) for some PIECE characters at a time; ``lengths``
+    in characters."""
     lengths = np.asarray(lengths, np.int64)
-    codes, at, low = unpack(blob, lengths), 0, 0
+    codes, at, low = unpack(blob, 2 * lengths).view(np.uint16), 0, 0
     ends = np.cumsum(lengths)
     while low < len(lengths):
         high = max(low + 1, int(np.searchsorted(ends, at + PIECE, side="right")))
@@ -105,6 +83,15 @@ def pieces(blob: bytes, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         at, low = int(ends[high - 1]), high
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, their sums)."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """(doc_id) labelled good and never bad."""
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -118,27 +105,26 @@ def block_counts(blocks: DataFrame, trusted: DataFrame) -> tuple[DataFrame, Data
     train = index.where("NOT calibrates").groupBy("block").agg(F.collect_list("idx").alias("train"))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, trained = np.zeros(CLASSES**ORDER, bool), np.zeros(CLASSES**ORDER, np.int32)
         for batch in stream:
             for block, lengths, blob, train in zip(*[c.to_pylist() for c in batch.columns]):
+                lengths = np.array(lengths, np.int64) // 2
                 flag = np.zeros(len(lengths), bool)
                 flag[train or []] = True
-                seen[:] = False
-                trained[:] = 0
+                keys, counts = [], []
                 for low, high, code, doc in pieces(blob, lengths):
-                    seen[code] = True
-                    np.add.at(trained, code[flag[low:high][doc]], 1)
-                here = np.flatnonzero(seen)
-                n = trained[here]
+                    every = np.unique(code)
+                    trained, n = np.unique(code[flag[low:high][doc]], return_counts=True)
+                    keys += [every, trained]
+                    counts += [np.zeros(len(every), np.int64), n]
+                here, n = summed(keys, counts)
                 for at in range(0, len(here), 100_000):
                     part = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(here[part]), block)), pa.array(here[part].astype(np.int32)), pa.array(n[part].astype(np.int64))],
-                        ["block", "gram", "n"],
+                        [pa.array(np.full(len(here[part]), block)), pa.array(here[part]), pa.array(n[part])], ["block", "gram", "n"]
                     )
 
     joined = blocks.select("block", "lengths", "blob").join(train, "block", "left")
-    counted = joined.select("block", "lengths", "blob", "train").mapInArrow(count, "block long, gram int, n long")
+    counted = joined.select("block", "lengths", "blob", "train").mapInArrow(count, "block long, gram long, n long")
     return settle(counted, "grams"), index.where("calibrates").select("block", "idx")
 
 
@@ -151,12 +137,12 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 def log_probabilities(counted: DataFrame) -> DataFrame:
     """(gram, logp) of every n-gram that occurs in any block: joins of the asked n-grams with the counts
-    of each order, sharded by n-gram and by context.  The counts of an order are a small table each (at
-    most 64**order rows) and written once."""
+    of each order, sharded by n-gram and by context.  The counts of an order are written once."""
+    tail = lambda g, order: F.col(g).bitwiseAND(F.lit((1 << WIDTH * order) - 1))
     asked = settle(counted.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     levels = [asked.where("n > 0").withColumnRenamed("gram", "g")]
     for order in range(ORDER - 1, 0, -1):  # continuation counts: in how many different contexts, one character longer
-        shorter = levels[-1].groupBy((F.col("g") % (CLASSES**order)).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+        shorter = levels[-1].groupBy(tail("g", order).alias("g")).agg(F.count(F.lit(1)).alias("n"))
         levels.append(settle(shorter, f"counts{order}"))
     out = asked.select("gram").withColumn("p", F.lit(1.0 / CLASSES))
     for order, level in zip(range(1, ORDER + 1), reversed(levels)):
@@ -165,7 +151,7 @@ def log_probabilities(counted: DataFrame) -> DataFrame:
         contexts = level.groupBy(F.shiftright("g", WIDTH).alias("c")).agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
         counts = level.select("g", (F.col("n") - F.col("cut")).alias("kept"))
         out = (
-            out.withColumn("_g", (F.col("gram") % (CLASSES**order)).cast("int"))
+            out.withColumn("_g", tail("gram", order))
             .join(counts, F.col("_g") == F.col("g"), "left")
             .drop("g")
             .join(contexts, F.shiftright("_g", WIDTH) == F.col("c"), "left")
@@ -181,7 +167,7 @@ def log_probabilities(counted: DataFrame) -> DataFrame:
 
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, version, lang, n_chars, perplexity, calibrates) for every row."""
-    blocks = pack(docs, fold, id_col, text_col, lang_col)
+    blocks = pack(docs, fold, id_col, text_col, lang_col, BLOCK_BYTES)
     counted, calibration = block_counts(blocks, trusted_ids(labels))
     known = settle(log_probabilities(counted), "logp")
     answers = (
@@ -193,16 +179,16 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     asked = blocks.join(answers.join(held, "block", "left"), "block", "left")
 
     def score(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = np.zeros(CLASSES**ORDER, np.float32)
         for batch in stream:
             for k in range(batch.num_rows):
                 ids, versions, tags, lengths, blob, gram, logp, held = (batch.column(c)[k] for c in range(8))
-                lengths = np.array(lengths.values, np.int64)
-                if gram.is_valid:
-                    lookup[np.array(gram.values)] = np.array(logp.values)
+                lengths = np.array(lengths.values, np.int64) // 2
                 total = np.zeros(len(lengths))
-                for low, high, code, doc in pieces(blob.as_py(), lengths):
-                    total[low:high] = np.bincount(doc, weights=lookup[code], minlength=high - low)
+                if gram.is_valid:
+                    order = np.argsort(np.array(gram.values))
+                    known, value = np.array(gram.values)[order], np.array(logp.values)[order]
+                    for low, high, code, doc in pieces(blob.as_py(), lengths):
+                        total[low:high] = np.bincount(doc, weights=value[np.searchsorted(known, code)], minlength=high - low)
                 flag = np.zeros(len(lengths), bool)
                 flag[held.as_py() or []] = True
                 ppl = np.exp(-total / (lengths + 1))
@@ -225,15 +211,16 @@ def classify(
     scored = perplexities(docs, labels, id_col, text_col, lang_col)
     group = F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n"))
     at = lambda c, q: F.percentile_approx(c, q, 10_000)
-    enough = F.col("n") >= LEAST_CALIBRATION
 
     def per_language(frame: DataFrame, column: str, q: float) -> DataFrame:
-        """``frame`` with ``cut``: the quantile among the calibration texts of the row's language, or of all."""
+        """``frame`` with ``cut``: the quantile among the calibration texts of the row's language, drawn to that
+        of all of them where they are few."""
         held = frame.where("calibrates AND perplexity IS NOT NULL")
         overall = held.agg(at(column, q).alias("overall"))
-        own = held.where("lang IS NOT NULL").groupBy(group.alias("_l")).agg(at(column, q).alias("own"), F.count(F.lit(1)).alias("n")).where(enough)
-        joined = frame.withColumn("_g", group).join(own.select("_l", "own"), F.col("_g") == F.col("_l"), "left")
-        return joined.crossJoin(F.broadcast(overall)).withColumn("cut", F.coalesce("own", "overall")).drop("own", "overall", "_l", "_g")
+        own = held.where("lang IS NOT NULL").groupBy(group.alias("_l")).agg(at(column, q).alias("own"), F.count(F.lit(1)).alias("n"))
+        joined = frame.withColumn("_g", group).join(own, F.col("_g") == F.col("_l"), "left").crossJoin(F.broadcast(overall))
+        cut = F.exp((F.col("n") * F.log("own") + PRIOR_TEXTS * F.log("overall")) / (F.col("n") + PRIOR_TEXTS))
+        return joined.withColumn("cut", F.coalesce(cut, "overall")).drop("own", "overall", "n", "_l", "_g")
 
     length = F.col("n_chars") + 1
     drawn = F.exp((F.log("perplexity") * length + PRIOR_CHARS * F.log("cut")) / (length + PRIOR_CHARS))
@@ -245,6 +232,4 @@ def classify(
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, columns unchanged."""
-    gone = classify(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col).where("NOT keep")
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("version").alias("_v")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_v")), "left_anti")
+    return without(docs, classify(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col).where("NOT keep"), id_col, text_col)

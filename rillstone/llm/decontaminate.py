@@ -17,8 +17,9 @@ a shuffle of the hashes.  Only matches are ever grouped, per document, item and
 group by the item's length.
 
 Cases: null and empty texts and items match nothing; repeated benchmark texts each report their own id;
-repeated documents are reported once; null ids are reported as null; texts of any length are read whole.
-Only id and text columns are read.
+repeated documents are reported once; rows that share an id, or have none, are judged by their own text
+(``version``, its hash); null ids are reported as null; texts of any length are read whole; empty tables match
+nothing.  Only id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.broadcasts import is_small
+from .rows import version_of, without
 
 WINDOW, COVERAGE = 8, 0.8
 SEED, SHIFT = 4, 0.2  # embedded items: words of a window; by how many of an item's words diagonals may lie apart
@@ -79,10 +81,10 @@ def _shifted(hashes: Column, by: int) -> Column:
 
 
 def prepare(df: DataFrame, id_col: str, text_col: str, name: str, window: int = WINDOW) -> DataFrame:
-    """(name, marks, words, hashes): marked words, template words and the hash of the window at each
+    """(name, version, marks, words, hashes): marked words, template words and the hash of the window at each
     position (``window`` is a power of two: windows are hashed by doubling).  A text of fewer words has one
     hash, of the whole, which equals no window's."""
-    out = df.select(F.col(id_col).alias(name), F.split(marked(F.col(text_col)), " ").alias("marks"))
+    out = df.select(F.col(f"`{id_col}`").alias(name), version_of(text_col).alias("version"), F.split(marked(F.col(f"`{text_col}`")), " ").alias("marks"))
     out = out.withColumn("words", F.transform("marks", template_word))
     out = out.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     width = 1
@@ -100,7 +102,7 @@ def _slots(words: Column, marks: Column, at: Column) -> Column:
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int) -> DataFrame:
-    """(doc_id, item_id, n_words, item_windows, item_pos, diagonal, item_slots, doc_slots): equal windows."""
+    """(doc_id, version, item_id, n_words, item_windows, item_pos, diagonal, item_slots, doc_slots): equal windows."""
     texts = prepare(docs, id_col, text_col, "doc_id", window)
     items = prepare(benchmark, item_id, item_text, "item_id", window).where("words[0] <> ''")
     here = F.slice("words", F.col("pos") + 1, window)
@@ -114,21 +116,21 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
         item_windows = F.broadcast(item_windows)
     return (
         # outer: for a plain explode the planner puts a filter on the array's size below, which computes all hashes again
-        texts.select("doc_id", "words", "marks", F.posexplode_outer("hashes").alias("pos", "hash"))
+        texts.select("doc_id", "version", "words", "marks", F.posexplode_outer("hashes").alias("pos", "hash"))
         .join(item_windows, F.col("hash") == F.col("item_hash"))
         # written as no equality: it would become a join key, computed for every window of every document
         .where(F.array_join(here, " ").between(F.col("item_words"), F.col("item_words")))
-        .select("doc_id", "item_id", "n_words", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_slots", slots.alias("doc_slots"))
+        .select("doc_id", "version", "item_id", "n_words", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_slots", slots.alias("doc_slots"))
     )
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, coverage, slots, changed): the best consistent diagonal of
+    """(doc_id, version, item_id, windows, item_windows, coverage, slots, changed): the best consistent diagonal of
     each contaminated document and item; ``changed`` counts the slots with another value."""
     hits = _hits(docs, benchmark, id_col, text_col, item_id, item_text, WINDOW)
     paired = F.zip_with("item_slots", "doc_slots", lambda i, d: F.struct(i["at"].alias("at"), i["m"].alias("i"), d["m"].alias("d")))
     lines = (
-        hits.groupBy("doc_id", "item_id", "item_windows", "diagonal")
+        hits.groupBy("doc_id", "version", "item_id", "item_windows", "diagonal")
         .agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(paired))).alias("pairs"))
         .withColumn("windows", F.size("at"))
         .where(F.col("windows") >= F.ceil(F.col("item_windows") * COVERAGE))
@@ -138,18 +140,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         "*", distinct(lambda p: F.struct(p["i"], p["d"])).alias("n_pairs"), distinct(lambda p: p["i"]).alias("n_i"), distinct(lambda p: p["d"]).alias("n_d")
     ).where("n_pairs = n_i AND n_pairs = n_d")
     found = one_to_one.select(
-        "doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"),
+        "doc_id", "version", "item_id", F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"),
         F.size("pairs").cast("long").alias("slots"), F.size(F.filter("pairs", lambda p: p["i"] != p["d"])).cast("long").alias("changed"),
     )
     best = F.max(F.struct("windows", (-F.col("changed")).alias("same"), "item_windows", "slots")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", "b.windows", "b.item_windows", F.round(F.col("b.windows") / F.col("b.item_windows"), 6).alias("coverage"),
+    return found.groupBy("doc_id", "version", "item_id").agg(best).select(
+        "doc_id", "version", "item_id", "b.windows", "b.item_windows", F.round(F.col("b.windows") / F.col("b.item_windows"), 6).alias("coverage"),
         "b.slots", (-F.col("b.same")).alias("changed"),
     )
 
 
 def embedded(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id) of documents that hold an item with few words changed, inserted or dropped.
+    """(doc_id, version, item_id) of documents that hold an item with few words changed, inserted or dropped.
 
     Diagonals up to SHIFT of the item's words apart are taken together, those of most words first; each
     adds the words that none before it covers, unless their slots contradict.  An item of fewer than
@@ -159,7 +161,7 @@ def embedded(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     paired = F.zip_with("item_slots", "doc_slots", lambda i, d: F.struct(i["at"].alias("at"), i["m"].alias("i"), d["m"].alias("d")))
     covers = F.transform(F.collect_set("item_pos"), lambda p: F.sequence(p, p + SEED - 1))
     lines = (
-        hits.groupBy("doc_id", "item_id", "n_words", "diagonal")
+        hits.groupBy("doc_id", "version", "item_id", "n_words", "diagonal")
         .agg(F.array_distinct(F.flatten(covers)).alias("at"), F.array_distinct(F.flatten(F.collect_set(paired))).alias("pairs"))
     )
     long = F.col("n_words") >= WINDOW
@@ -169,7 +171,7 @@ def embedded(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     band = F.floor(F.col("diagonal") / half)
     bands = (
         lines.withColumn("band", F.explode(F.array(band, band - 1)))
-        .groupBy("doc_id", "item_id", "n_words", "band")
+        .groupBy("doc_id", "version", "item_id", "n_words", "band")
         .agg(F.sort_array(F.collect_list(F.struct(F.size("at").alias("n"), "diagonal", "at", "pairs")), asc=False).alias("lines"))
         .where(F.size(F.array_distinct(F.flatten(F.col("lines.at")))) >= need)
     )
@@ -184,14 +186,13 @@ def embedded(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     nothing = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<struct<at:int,i:string,d:string>>").alias("pairs"))
     found = bands.withColumn("all", F.aggregate("lines", nothing, add)).where(F.size("all.at") >= need)
-    return found.where(long | (F.col("n_words") - F.size("all.pairs") >= SEED)).select("doc_id", "item_id").distinct()
+    return found.where(long | (F.col("n_words") - F.size("all.pairs") >= SEED)).select("doc_id", "version", "item_id").distinct()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id no benchmark item contaminates, columns unchanged."""
-    found = matches(docs, benchmark, id_col, text_col).select("doc_id").union(embedded(docs, benchmark, id_col, text_col).select("doc_id"))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` that no benchmark item contaminates, columns unchanged."""
+    found = matches(docs, benchmark, id_col, text_col).select("doc_id", "version").union(embedded(docs, benchmark, id_col, text_col).select("doc_id", "version"))
+    return without(docs, found, id_col, text_col)
 
 
 def oracle() -> str:
@@ -202,28 +203,28 @@ def oracle() -> str:
         mark = f"regexp_replace({mark}, {quote(pattern)}, {quote(put.replace('{', chr(92)).replace('}', ''))}, 'g')"
     word = f"""CASE WHEN m < '{UNIT}' THEN lower(substr(m, 2)) WHEN m < '\x04' THEN '{UNIT}' WHEN m >= '0' AND m < ':' THEN '{NUMBER}'
       WHEN (m >= 'A' AND m < '[') OR (m >= 'À' AND m < 'ß') THEN '{NAME}' ELSE m END"""
-    side = lambda t, key: f"""SELECT id, marks, words, CASE WHEN len(words) < {WINDOW} THEN 1 ELSE len(words) - {WINDOW - 1} END AS n FROM (
-      SELECT id, marks, list_transform(marks, lambda m: {word}) AS words FROM (SELECT {key} AS id, string_split(trim({mark}), ' ') AS marks FROM {t}))
+    side = lambda t, key: f"""SELECT id, ver, marks, words, CASE WHEN len(words) < {WINDOW} THEN 1 ELSE len(words) - {WINDOW - 1} END AS n FROM (
+      SELECT id, ver, marks, list_transform(marks, lambda m: {word}) AS words FROM (SELECT {key} AS id, md5(coalesce(text, '')) AS ver, string_split(trim({mark}), ' ') AS marks FROM {t}))
       WHERE words[1] <> ''"""
-    windows = lambda t: f"SELECT id, n, marks, words, unnest(range(n)) AS pos FROM {t}"
+    windows = lambda t: f"SELECT id, ver, n, marks, words, unnest(range(n)) AS pos FROM {t}"
     slot = f"w IN ('{NUMBER}', '{NAME}', '{UNIT}')"
     return f"""
 WITH d AS ({side("documents", "doc_id")}), b AS ({side("benchmark", "item_id")}),
 dw AS (SELECT *, words[pos + 1:pos + {WINDOW}] AS win FROM ({windows("d")})),
 bw AS (SELECT *, words[pos + 1:pos + {WINDOW}] AS win FROM ({windows("b")})),
-hits AS (SELECT dw.id AS doc_id, bw.id AS item_id, bw.n AS item_windows, bw.pos AS item_pos, dw.pos - bw.pos AS diagonal,
+hits AS (SELECT dw.id AS doc_id, dw.ver AS ver, bw.id AS item_id, bw.n AS item_windows, bw.pos AS item_pos, dw.pos - bw.pos AS diagonal,
   bw.win AS ws, bw.marks[bw.pos + 1:bw.pos + {WINDOW}] AS ims, dw.marks[dw.pos + 1:dw.pos + {WINDOW}] AS dms
   FROM dw JOIN bw ON dw.win = bw.win AND (len(dw.words) < {WINDOW}) = (len(bw.words) < {WINDOW})),
-lines AS (SELECT doc_id, item_id, item_windows, diagonal, count(DISTINCT item_pos) AS windows FROM hits GROUP BY ALL
+lines AS (SELECT doc_id, ver, item_id, item_windows, diagonal, count(DISTINCT item_pos) AS windows FROM hits GROUP BY ALL
   HAVING count(DISTINCT item_pos) >= ceil(item_windows * {COVERAGE})),
-pairs AS (SELECT DISTINCT h.doc_id, h.item_id, h.item_windows, h.diagonal, h.item_pos + k AS at, h.ws[k + 1] AS w, h.ims[k + 1] AS i, h.dms[k + 1] AS d
+pairs AS (SELECT DISTINCT h.doc_id, h.ver, h.item_id, h.item_windows, h.diagonal, h.item_pos + k AS at, h.ws[k + 1] AS w, h.ims[k + 1] AS i, h.dms[k + 1] AS d
   FROM (SELECT *, unnest(range(len(ws))) AS k FROM hits) h),
-slots AS (SELECT doc_id, item_id, item_windows, diagonal, count(*) AS slots, count(*) FILTER (i <> d) AS changed,
+slots AS (SELECT doc_id, ver, item_id, item_windows, diagonal, count(*) AS slots, count(*) FILTER (i <> d) AS changed,
   count(DISTINCT i || ' ' || d) AS np, count(DISTINCT i) AS ni, count(DISTINCT d) AS nd FROM pairs WHERE {slot} GROUP BY ALL),
-found AS (SELECT l.doc_id, l.item_id, l.windows, l.item_windows, coalesce(s.slots, 0) AS slots, coalesce(s.changed, 0) AS changed
-  FROM lines l LEFT JOIN slots s ON s.doc_id IS NOT DISTINCT FROM l.doc_id AND s.item_id = l.item_id AND s.diagonal = l.diagonal
+found AS (SELECT l.doc_id, l.ver, l.item_id, l.windows, l.item_windows, coalesce(s.slots, 0) AS slots, coalesce(s.changed, 0) AS changed
+  FROM lines l LEFT JOIN slots s ON s.doc_id IS NOT DISTINCT FROM l.doc_id AND s.ver = l.ver AND s.item_id = l.item_id AND s.diagonal = l.diagonal
   WHERE s.np IS NULL OR (s.np = s.ni AND s.np = s.nd))
 SELECT doc_id, item_id, windows::BIGINT AS windows, item_windows::BIGINT AS item_windows, round(windows / item_windows, 6) AS coverage,
   slots::BIGINT AS slots, changed::BIGINT AS changed
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY windows DESC, changed, item_windows DESC, slots DESC) AS r FROM found) WHERE r = 1
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ver, item_id ORDER BY windows DESC, changed, item_windows DESC, slots DESC) AS r FROM found) WHERE r = 1
 """

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import settle
+
 DIMENSIONS = 1024
 SEED = 11
 BATCH_DOCS = 256
@@ -132,8 +134,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def prototypes(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Language -> vector.  The driver gets one vector per language, added up by the executors."""
+def prototypes(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, bundle): one vector per language, added up by the executors and written as a table."""
 
     def add_up(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(), {}
@@ -157,21 +159,25 @@ def prototypes(training: DataFrame, text_col: str = "text", lang_col: str = "lan
         .agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs"))
         .select("lang", F.transform("xs", lambda s: s["x"]).alias("bundle"))
     )
-    return {r["lang"]: np.array(r["bundle"], np.int64) for r in total.toLocalIterator()}
+    return settle(total.where(F.exists("bundle", lambda x: x != 0)), "prototypes")
 
 
-def predict(docs: DataFrame, protos: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row.  Beyond LANGUAGES prototypes a further narrow
-    pass compares the best so far with the next block."""
-    known = {k: v for k, v in protos.items() if np.any(v)}
-    names = sorted(known)
+def predict(docs: DataFrame, protos: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row.  The driver holds the prototypes of about
+    LANGUAGES languages at once; beyond them a further narrow pass, whose rows are written, compares the best
+    so far with the next block."""
+    blocks = max(1, -(-protos.count() // LANGUAGES))
+    mine = F.pmod(F.xxhash64("lang"), F.lit(blocks))
     out = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"),
         F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"),
     )
-    for start in range(0, len(names), LANGUAGES):
-        part = names[start : start + LANGUAGES]
-        matrix = np.stack([known[n] for n in part]).astype(np.float64)
+    for k in range(blocks):
+        known = {r["lang"]: np.array(r["bundle"], np.float64) for r in protos.where(mine == k).toLocalIterator()}
+        if not known:
+            continue
+        part = sorted(known)
+        matrix = np.stack([known[n] for n in part])
         matrix = (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).T.copy()
 
         def best(stream: Iterator[pa.RecordBatch], part=part, matrix=matrix) -> Iterator[pa.RecordBatch]:
@@ -181,11 +187,11 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], id_col: str = "doc_i
                 vectors = space.bundle(doc, index, present, len(rows))
                 lettered = np.bincount(doc, minlength=len(rows)) > 0
                 norm = np.linalg.norm(vectors, axis=1)
-                cosine = np.clip((vectors @ matrix) / np.where(norm > 0, norm, 1)[:, None], 0, 1)
+                cosine = (vectors @ matrix) / np.where(norm > 0, norm, 1)[:, None]
                 at = cosine.argmax(axis=1)
                 picked = []
                 for r, k, c, ok in zip(rows, at, cosine[np.arange(len(rows)), at], lettered):
-                    better = ok and (r[3] == UND or c > r[4])
+                    better = ok and (r[3] == UND or c > r[4] or (c == r[4] and part[k] < r[3]))
                     picked.append((part[k], float(c)) if better else (r[3], r[4]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -197,7 +203,9 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], id_col: str = "doc_i
                 )
 
         out = out.mapInArrow(best, "doc_id long, text string, held_out boolean, lang_pred string, score double")
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+        if k < blocks - 1:
+            out = settle(out, "languages")
+    return out.select("doc_id", "held_out", "lang_pred", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

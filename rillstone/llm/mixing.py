@@ -10,16 +10,20 @@ weight 0 when weights are given; without any, the weight of a source is mass **
 
 Cases: a null source is a source of its own (weight key None); null ids share one uniform number;
 rows that repeat an id get equal numbers of copies; null and empty texts count one character; an empty
-table gives an empty result; weights that sum to 0 give an empty result.
+table gives an empty result; weights that sum to 0 give an empty result; a row's own columns come out as
+they went in, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import settle
+from .rows import free
+
 SEED = 20
 TEMPERATURE = 0.5
 SPAN = 12  # standard deviations of the quantile table: beyond them lies less than 2**-52
@@ -40,8 +44,9 @@ def rates(
     source_col: str = "source",
 ) -> DataFrame:
     """(mix_source, rate): one row per source.  ``total`` is the target mass; None keeps the present one."""
-    mass = F.greatest(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1))
-    by = docs.groupBy(F.col(source_col).cast("string").alias("mix_source")).agg(F.sum(mass).cast("double").alias("mass"))
+    mass = F.greatest(F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(1))
+    slim = docs.select(F.col(f"`{source_col}`").cast("string").alias("mix_source"), mass.alias("mass"))
+    by = slim.groupBy("mix_source").agg(F.sum("mass").cast("double").alias("mass"))
     if weights is None:
         by = by.withColumn("weight", F.pow("mass", F.lit(float(temperature))))
     else:
@@ -59,22 +64,28 @@ def rates(
 
 
 def quantiles(rate_table: DataFrame) -> DataFrame:
-    """Adds ``cdf``: the distribution function of Poisson(rate) at 0, 1, 2, ... until it is 1 in doubles."""
+    """(mix_source, cdf): the distribution function of Poisson(rate) at 0, 1, 2, ... until it is 1 in doubles,
+    as running sums over one row per source and count."""
     last = F.ceil(F.col("rate") + SPAN * F.sqrt(F.col("rate")) + 30).cast("int")
-    # log P(k) = k log(rate) - rate - log k!, summed up term by term
-    steps = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct((-F.col("rate")).alias("log_p"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
-        lambda acc, k: F.struct(
-            (acc["log_p"] + F.log(F.col("rate")) - F.log(k.cast("double"))).alias("log_p"),
-            (acc["sum"] + F.exp(acc["log_p"] + F.log(F.col("rate")) - F.log(k.cast("double")))).alias("sum"),
-            F.concat(
-                acc["cdf"], F.array(acc["sum"] + F.exp(acc["log_p"] + F.log(F.col("rate")) - F.log(k.cast("double"))))
-            ).alias("cdf"),
-        ),
-        lambda acc: acc["cdf"],
-    )
-    return rate_table.withColumn("cdf", F.when(F.col("rate") > 0, steps))
+    rows = rate_table.where("rate > 0").select("mix_source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    upto = Window.partitionBy("mix_source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log_p = -F.col("rate") + F.sum(F.when(F.col("k") > 0, F.log("rate") - F.log(F.col("k").cast("double"))).otherwise(0.0)).over(upto)
+    sums = rows.withColumn("p", F.exp(log_p)).withColumn("total", F.sum("p").over(upto))
+    cdf = F.transform(F.sort_array(F.collect_list(F.struct("k", "total"))), lambda s: s["total"])
+    return sums.groupBy("mix_source").agg(cdf.alias("cdf"))
+
+
+def copies_at(cdf: Column, u: Column) -> Column:
+    """How many entries of the rising array are at most ``u``, by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cdf) + 1)).cast("int"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        right = F.get(cdf, middle) <= u
+        open_ = at["low"] < at["high"]
+        return F.struct(F.when(open_ & right, middle + 1).otherwise(at["low"]).alias("low"), F.when(open_ & ~right, middle).otherwise(at["high"]).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(cdf).alias("high")), halve, lambda at: at["low"])
 
 
 def replicate(
@@ -86,24 +97,24 @@ def replicate(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    max_broadcast_sources: int = 20_000,
+    max_broadcast_counts: int = 2_000_000,
 ) -> DataFrame:
-    """``docs`` with each row as often as drawn, plus ``copy_no`` (from 0) and ``mix_key``, dealt out
-    and sorted by ``mix_key`` within partitions: a random order of the whole, the same at each run."""
-    from ..plans.broadcasts import is_small
-
-    table = quantiles(rates(docs, weights, total, temperature, text_col, source_col)).where("rate > 0")
-    columns = [c for c in docs.columns if c not in ("copy_no", "mix_key", "_u", "_n")]
-    keyed = docs.select(*columns, uniform(seed, F.col(id_col)).alias("_u"))
-    on = F.col(source_col).cast("string").eqNullSafe(F.col("mix_source"))
-    if is_small(table.select("mix_source"), max_broadcast_sources):
-        drawn = keyed.join(F.broadcast(table), on)
-    else:  # many sources, a hot one among them: the planner shuffles and splits skewed partitions
-        drawn = keyed.join(table, on)
-    copies = drawn.withColumn("_n", F.size(F.filter("cdf", lambda c: c <= F.col("_u")))).where("_n > 0")
-    out = copies.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy_no"))
-    out = out.withColumn("mix_key", uniform(seed + 1, F.col(id_col), F.col("copy_no")))
-    return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key", id_col)
+    """``docs`` with each row as often as drawn, plus ``copy_no`` (from 0) and ``mix_key`` (with underscores
+    behind where ``docs`` has such columns), dealt out and sorted by ``mix_key`` within partitions: a random
+    order of the whole, the same at each run.  The quantile tables are broadcast up to
+    ``max_broadcast_counts`` numbers in all."""
+    known = settle(rates(docs, weights, total, temperature, text_col, source_col).where("rate > 0"), "rates")
+    numbers = known.agg(F.sum(F.col("rate") + SPAN * F.sqrt("rate") + 31)).first()[0] or 0
+    table = quantiles(known)
+    keyed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").cast("string").alias("source"), uniform(seed, F.col(f"`{id_col}`")).alias("u"))
+    # many sources, a hot one among them: the planner shuffles and splits skewed partitions
+    drawn = keyed.join(F.broadcast(table) if numbers <= max_broadcast_counts else table, F.col("source").eqNullSafe(F.col("mix_source")))
+    copies = drawn.select("row", "doc", copies_at(F.col("cdf"), F.col("u")).alias("n")).where("n > 0")
+    out = copies.select("row", "doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy_no"))
+    out = out.withColumn("mix_key", uniform(seed + 1, F.col("doc"), F.col("copy_no")))
+    copy_no, mix_key = free(docs, "copy_no", "mix_key")
+    dealt = out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key", "doc")
+    return dealt.select("row.*", F.col("copy_no").alias(copy_no), F.col("mix_key").alias(mix_key))
 
 
 def oracle(seed: int = SEED, temperature: float = TEMPERATURE) -> str:

@@ -12,11 +12,11 @@ from . import decontaminate, langid, licenses, lines, maxscore, mixing, quality,
 
 
 def op1_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("version")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark)).drop("version")
 
 
 def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +44,9 @@ def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id",
-        F.col("_lines").cast("long").alias("n_lines"),
-        F.col("_removed").cast("long").alias("n_removed"),
-        F.col("text").alias("kept_text"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = lines.drop_boilerplate(docs, counts=("n_lines", "n_removed"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.col("text").alias("kept_text"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Corpus operators against brute force, SQL, round trips and held-out rows, with the odd cases."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -64,7 +67,8 @@ def test_licenses(spark):
 def kneser_ney(train, text):
     """Interpolated modified Kneser-Ney by the book, on folded characters."""
     order = quality.ORDER
-    padded = [[0] * (order - 1) + list(quality.fold(t or "")) + [0] for t in train]
+    classes = lambda t: np.frombuffer(quality.fold(t or ""), np.uint16).tolist()
+    padded = [[0] * (order - 1) + classes(t) + [0] for t in train]
     counts = [{} for _ in range(order + 1)]
     for p in padded:
         for k in range(order - 1, len(p)):
@@ -91,7 +95,7 @@ def kneser_ney(train, text):
         c = of.get(g, 0)
         return (c - cut[n][min(c, 3)] + freed * lower) / total
 
-    q = [0] * (order - 1) + list(quality.fold(text)) + [0]
+    q = [0] * (order - 1) + classes(text) + [0]
     return float(np.exp(-np.mean([np.log(p(tuple(q[k - order + 1 : k + 1]))) for k in range(order - 1, len(q))])))
 
 
@@ -111,6 +115,46 @@ def test_quality_matches_the_book(spark, monkeypatch):
     assert all((r.perplexity is None) == (r.n_chars == 0) for r in got)
 
 
+def test_quality_decisions(spark, monkeypatch):
+    """score, threshold and keep from the perplexities, language by language."""
+    monkeypatch.setattr(quality, "CALIBRATION", 2)
+    rng = random.Random(4)
+    words = {"en": ["the", "cat", "sat", "on", "a", "mat."], "fr": ["le", "chat", "est", "sur", "un", "tapis."], None: ["der", "hund"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 30))), lang, "s") for i in range(90) for lang in [rng.choice(["en", "en", "fr", None])]]
+    rows += [(200, "zqx 99 ##", "en", "s"), (201, "zqx 99 ##", "xx", "s"), *ODD]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs(spark, rows), labels, quantile=0.8, margin=1.1).collect()
+    base = quality.perplexities(docs(spark, rows), labels).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.version, r.n_chars)
+    got, base = sorted(got, key=key), sorted(base, key=key)
+    pick = lambda xs, q: sorted(xs)[max(0, int(np.ceil(q * len(xs))) - 1)]
+
+    def cut(q, values):
+        held = [(r.lang, v) for r, v in zip(base, values) if r.calibrates and v is not None]
+        overall = pick([v for _, v in held], q)
+        own = {lang: [v for x, v in held if x == lang] for lang in {x for x, _ in held if x}}
+        return [np.exp((len(own[r.lang]) * np.log(pick(own[r.lang], q)) + 30 * np.log(overall)) / (len(own[r.lang]) + 30)) if r.lang in own else overall for r in base]
+
+    median = cut(0.5, [r.perplexity for r in base])
+    score = [None if r.perplexity is None else float(np.exp((np.log(r.perplexity) * (r.n_chars + 1) + 40 * np.log(m)) / (r.n_chars + 41))) for r, m in zip(base, median)]
+    limit = [1.1 * x for x in cut(0.8, score)]
+    assert len(got) == len(rows) and sum(r.calibrates for r in base) > 10
+    for r, s, t in zip(got, score, limit):
+        assert (r.score is None and s is None) or r.score == pytest.approx(s)
+        assert r.threshold == pytest.approx(t) and r.keep == (s is not None and s <= t)
+
+
+def test_quality_of_other_scripts(spark):
+    """Junk in a script other than Latin is told from prose."""
+    rng = random.Random(6)
+    words = "он она оно мы вы они был была было если когда потом дом лес река город вода земля небо".split()
+    good = [(i, " ".join(rng.choice(words) for _ in range(60)), "ru", "s") for i in range(60)]
+    bad = [(100 + i, "".join(rng.choice("абвгдежзиклмнопрстуфхцчшщъыьэюя ") for _ in range(300)), "ru", "s") for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep_good(docs(spark, good + bad), labels).collect()}
+    assert kept == set(range(60))
+
+
 def test_quality_keeps_good_text(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -136,6 +180,31 @@ def test_langid(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def test_langid_by_hand(spark):
+    """Binding, bundling and cosine, trigram by trigram."""
+    space = langid.Space()
+    turn = lambda c, k: np.roll(space._vector(ord(c)), k).astype(np.int64)
+
+    def bundle(text):
+        t = " " + re.sub(" +", " ", re.sub(r"[^a-zéß]", " ", text.lower())).strip() + " "
+        return sum((turn(a, 2) * turn(b, 1) * turn(c, 0) for a, b, c in zip(t, t[1:], t[2:])), np.zeros(langid.DIMENSIONS, np.int64))
+
+    learn = [(i, t, lang, "a") for i, (t, lang) in enumerate([("The cat sat, 2 cats!", "en"), ("le chat était là", "fr"), ("cat that", "en"), ("straße und haß", "de"), ("same", "b"), ("same", "a")])]
+    protos = langid.prototypes(docs(spark, learn))
+    want = {}
+    for _, t, lang, _ in learn:
+        want[lang] = want.get(lang, 0) + bundle(t.replace("à", "zq").replace("é", "é")) if lang != "fr" else bundle("x")
+    got = {r.lang: np.array(r.bundle) for r in protos.collect()}
+    assert set(got) == {"en", "fr", "de", "a", "b"} and all((got[k] == want[k]).all() for k in ("en", "de", "a", "b"))
+    asked = [(10, "that cat", None, "a"), (11, "haß", None, "a"), (12, "same", None, "a"), (13, "xyzzy qqq jjj", None, "a")]
+    for r in langid.predict(docs(spark, asked), protos).collect():
+        v = bundle(next(t for i, t, _, _ in asked if i == r.doc_id)).astype(float)
+        cos = {k: float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)) for k, p in got.items()}
+        best = min(cos, key=lambda k: (-round(cos[k], 9), k))
+        assert r.lang_pred == best and r.score == pytest.approx(max(0.0, cos[best]), abs=1e-6)
+    assert [r.lang_pred for r in langid.predict(docs(spark, asked[2:3]), protos).collect()] == ["a"]  # a tie
+
+
 def test_langid_blocks_agree(spark, monkeypatch):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     protos = langid.prototypes(d)
@@ -223,9 +292,57 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_archives(pages(spark), first)
     warc.dedupe_archives(spark, first, second)
     back = warc.restore(warc.read_archives(spark, second))
-    assert sorted((str(r.page_id), r.html) for r in back.collect()) == sorted((str(p), h or "") for p, _, h in PAGES)
-    data = next((tmp_path / "b").glob("part-*")).read_bytes()
-    assert all("warc-record-id" in h and int(h["content-length"]) == len(b) for h, b in warc.parse(data))
+    assert sorted((str(r.page_id), r.payload.decode()) for r in back.where("kind <> 'warcinfo'").collect()) == sorted((str(p), h or "") for p, _, h in PAGES)
+    data = next(p for p in (tmp_path / "b").glob("part-*") if p.stat().st_size).read_bytes()
+    records = [({k.lower(): v for k, v in f}, b) for f, b in warc.parse(data)]
+    assert records[0][0]["warc-type"] == "warcinfo" and all("warc-record-id" in h and int(h["content-length"]) == len(b) for h, b in records)
+    members, at = [], 0
+    while at < len(data):  # one record a member, an empty one last
+        z = zlib.decompressobj(31)
+        members.append(z.decompress(data[at:]))
+        at = len(data) - len(z.unused_data)
+    assert members[-1] == b"" and all(m.startswith(b"WARC/1.1") and m.endswith(b"\r\n\r\n") for m in members[:-1])
+
+
+def foreign():
+    """An archive as others write them: no page ids, digests in base 32, a request, a revisit by id and one by digest."""
+    body = b"y" * 1500
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\n"
+
+    def record(kind, uid, block, *fields):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uid}>", "WARC-Date: 2020-05-05T00:00:00Z", *fields, f"Content-Length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    of = "Content-Type: application/http; msgtype=response"
+    return [
+        record("warcinfo", "i", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("request", "q", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Concurrent-To: <urn:uuid:a>"),
+        record("response", "a", http + body, "WARC-Target-URI: http://x/a", of, f"WARC-Payload-Digest: {digest}"),
+        record("response", "b", http + body, "WARC-Target-URI: http://x/b", of),
+        record("response", "c", http + b"small", "WARC-Target-URI: http://x/c", of),
+        record("response", "d", http + b"small", "WARC-Target-URI: http://x/d", of),
+        record("revisit", "r", http, "WARC-Target-URI: http://x/r", of, "WARC-Refers-To: <urn:uuid:a>", f"WARC-Payload-Digest: {digest}"),
+        record("revisit", "s", http, "WARC-Target-URI: http://x/s", of, "WARC-Refers-To: <urn:uuid:gone>", f"WARC-Payload-Digest: {digest}"),
+        record("revisit", "t", http, "WARC-Target-URI: http://x/t", of, f"WARC-Payload-Digest: {digest}"),
+        record("revisit", "u", http, "WARC-Target-URI: http://x/u", of, "WARC-Refers-To: <urn:uuid:gone>", "WARC-Payload-Digest: sha1:" + "A" * 32),
+    ]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_foreign_archives(spark, tmp_path, packed):
+    (tmp_path / "in").mkdir()
+    data = b"".join(gzip.compress(r) for r in foreign()) if packed else b"".join(foreign())
+    (tmp_path / "in" / ("CC-MAIN-1.warc" + ".gz" * packed)).write_bytes(data)
+    got = {r.url[-1]: r for r in warc.resolve(warc.read_archives(spark, f"file://{tmp_path}/in")).collect()}
+    assert {k: r.record_type for k, r in got.items()} == dict.fromkeys("abcd", "response") | dict.fromkeys("rstu", "revisit")
+    assert got["r"].refers_to_id == "<urn:uuid:a>" and {got[k].payload_bytes for k in "abrst"} == {1500} and got["u"].payload_bytes is None
+    warc.dedupe_archives(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    back = {r.record_id[10:-1]: r for r in warc.read_archives(spark, f"file://{tmp_path}/out").collect()}
+    assert {k: r.kind for k, r in back.items() if len(k) == 1} == {"i": "warcinfo", "q": "request", "a": "revisit", "b": "revisit", "c": "response", "d": "response", "r": "revisit", "s": "revisit", "t": "response", "u": "revisit"}
+    assert {back[k].refers_to_id for k in "abrs"} == {"<urn:uuid:t>"} and back["u"].refers_to_id == "<urn:uuid:gone>" and "WARC-Concurrent-To: <urn:uuid:a>" in back["q"].fields
+    again = {r.url[-1]: r for r in warc.resolve(warc.read_archives(spark, f"file://{tmp_path}/out")).collect()}
+    assert {again[k].payload_bytes for k in "abrst"} == {1500} and again["u"].payload_bytes is None
 
 
 # 7 --------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Joins, aggregations, windows, state and model metrics over the star schema, events and labels.
 
-Queries whose SQL reads the same in both engines are written once; ``{name}`` stands for a table.
+Where a query is SQL by nature (grouping, joins and frames as showcases) its text is written once for both
+engines; ``{name}`` stands for a table.  All others call the operators; ``oracle`` holds their SQL.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import evaluation, sampling, state
+from ..operators import evaluation, relations, sampling, state
 from ..plans.session import table
+from ..streaming import operators as streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,77 +41,307 @@ def both(name: str, sql: str, duck: str | None = None) -> None:
     ORACLES[name] = re.sub(r"\{(\w+)\}", r"\1", duck or sql)
 
 
+def oracle(name: str, sql: str, duck: str | None = None) -> None:
+    """The DuckDB side of a query that calls the operators."""
+    ORACLES[name] = re.sub(r"\{(\w+)\}", r"\1", duck or sql)
+
+
 # Joins --------------------------------------------------------------------------------------------
 both("join_inner_chunks", "SELECT l_orderkey, l_linenumber, p_brand, round(l_extendedprice * (1 - l_discount), 6) AS revenue FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE p_size < 5")
-both("join_label_fallback", """SELECT d.doc_id, coalesce(l.quality, CAST(CASE WHEN d.n_chars > 200 THEN 1 ELSE 0 END AS INT)) AS label,
+oracle("join_label_fallback", """SELECT d.doc_id, coalesce(l.quality, CAST(CASE WHEN d.n_chars > 200 THEN 1 ELSE 0 END AS INT)) AS label,
 CASE WHEN l.doc_id IS NULL THEN 1.0D ELSE 3.0D END AS weight FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""".replace("D ELSE", "D ELSE"),
      """SELECT d.doc_id, coalesce(l.quality, CAST(CASE WHEN d.n_chars > 200 THEN 1 ELSE 0 END AS INT)) AS label, CASE WHEN l.doc_id IS NULL THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END AS weight
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""")
-both("anti_join_unlabelled", "SELECT d.doc_id, d.lang FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
-both("anti_join_composite", """SELECT n.n_nationkey, s.o_orderpriority FROM {nation} n CROSS JOIN (SELECT DISTINCT o_orderpriority FROM {orders}) s
+oracle("anti_join_unlabelled", "SELECT d.doc_id, d.lang FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
+oracle("anti_join_composite", """SELECT n.n_nationkey, s.o_orderpriority FROM {nation} n CROSS JOIN (SELECT DISTINCT o_orderpriority FROM {orders}) s
 WHERE NOT EXISTS (SELECT 1 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = n.n_nationkey AND o.o_orderpriority = s.o_orderpriority AND o.o_totalprice > 450000)""")
 both("join_kinds", """SELECT 'inner' AS kind, count(*) AS n FROM {customer} JOIN {orders} ON c_custkey = o_custkey UNION ALL SELECT 'left', count(*) FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey
 UNION ALL SELECT 'full', count(*) FROM {supplier} FULL JOIN {nation} ON s_nationkey = n_nationkey AND s_acctbal > 0 UNION ALL SELECT 'semi', count(*) FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)
 UNION ALL SELECT 'anti', count(*) FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey) UNION ALL SELECT 'cross', count(*) FROM {region} CROSS JOIN {nation}""")
-both("lookup_with_default", "SELECT c.c_custkey, coalesce(n.n_name, '?') AS nation FROM {customer} c LEFT JOIN {nation} n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 3")
-both("semi_join_list", "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')")
-both("reverse_unknown_ids", "SELECT l.doc_id FROM {labels} l LEFT JOIN {documents} d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL UNION ALL SELECT -1 - count(*) FROM {labels}")
+oracle("lookup_with_default", "SELECT c.c_custkey, coalesce(n.n_name, '?') AS nation FROM {customer} c LEFT JOIN {nation} n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 3")
+oracle("semi_join_list", "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')")
+oracle("reverse_unknown_ids", "SELECT l.doc_id FROM {labels} l LEFT JOIN {documents} d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL UNION ALL SELECT -1 - count(*) FROM {labels}")
 
 # Aggregations -------------------------------------------------------------------------------------
 both("pricing_summary", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_discount
 FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""")
-both("counts_by_category", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY event_type")
-both("conditional_counts", "SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases, count(*) AS n FROM {events} GROUP BY user_id")
-both("slices_grouping_sets", """SELECT n_name, o_orderpriority, o_orderstatus, CAST(grouping(n_name) * 4 + grouping(o_orderpriority) * 2 + grouping(o_orderstatus) AS INT) AS slice, count(*) AS n, round(avg(o_totalprice), 2) AS mean
+oracle("counts_by_category", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY event_type")
+oracle("conditional_counts", "SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases, count(*) AS n FROM {events} GROUP BY user_id")
+oracle("slices_grouping_sets", """SELECT n_name, o_orderpriority, o_orderstatus, CAST(grouping(n_name) * 4 + grouping(o_orderpriority) * 2 + grouping(o_orderstatus) AS INT) AS slice, count(*) AS n, round(avg(o_totalprice), 2) AS mean
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON n_nationkey = c_nationkey GROUP BY GROUPING SETS ((n_name), (o_orderpriority), (o_orderstatus))""")
 both("cube_rollup", """SELECT 'cube' AS kind, r_name, c_mktsegment, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON r_regionkey = n_regionkey GROUP BY CUBE (r_name, c_mktsegment)
 UNION ALL SELECT 'rollup', r_name, c_mktsegment, count(*) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, c_mktsegment)""")
-both("group_mean_sd", "SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 6) AS mean, round(stddev_pop(p_retailprice), 6) AS sd, min(p_size) AS low, max(p_size) AS high FROM {part} GROUP BY p_brand")
-both("percentiles_linear", "SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM {events} GROUP BY event_type",
+oracle("group_mean_sd", "SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 6) AS mean, round(stddev_pop(p_retailprice), 6) AS sd, min(p_size) AS low, max(p_size) AS high FROM {part} GROUP BY p_brand")
+oracle("percentiles_linear", "SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM {events} GROUP BY event_type",
      "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM {events} GROUP BY event_type")
-both("distinct_in_order", "SELECT source, min(doc_id) AS first_id FROM {documents} GROUP BY source")
-both("latest_per_setting", "SELECT user_id, event_type, max(event_id) AS last_id, max_by(value, event_id) AS last_value FROM {events} GROUP BY user_id, event_type",
+oracle("distinct_in_order", "SELECT source, min(doc_id) AS first_id FROM {documents} GROUP BY source")
+oracle("latest_per_setting", "SELECT user_id, event_type, max(event_id) AS last_id, max_by(value, event_id) AS last_value FROM {events} GROUP BY user_id, event_type",
      "SELECT user_id, event_type, max(event_id) AS last_id, arg_max(value, event_id) AS last_value FROM {events} GROUP BY user_id, event_type")
-both("cost_estimate", "SELECT lang, CAST(sum(200 + floor(n_chars * 0.35)) AS BIGINT) AS tokens FROM {documents} GROUP BY lang")
+oracle("cost_estimate", "SELECT lang, CAST(sum(200 + floor(n_chars * 0.35)) AS BIGINT) AS tokens FROM {documents} GROUP BY lang")
 both("setops", """SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_nationkey FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}) a UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders}) b
 UNION ALL SELECT 'union', count(*) FROM (SELECT c_nationkey FROM {customer} UNION SELECT s_nationkey FROM {supplier}) c UNION ALL SELECT 'union_all', count(*) FROM (SELECT c_nationkey FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}) d""")
 
 # Windows ------------------------------------------------------------------------------------------
-both("latest_order_per_customer", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM {orders}) x WHERE r = 1")
-both("distinct_on_latest", "SELECT user_id, day, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM {events} GROUP BY user_id, CAST(ts AS DATE)) d) x WHERE r = 1")
+oracle("latest_order_per_customer", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM {orders}) x WHERE r = 1")
+oracle("distinct_on_latest", "SELECT user_id, day, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM {events} GROUP BY user_id, CAST(ts AS DATE)) d) x WHERE r = 1")
 both("frames", """SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving,
 count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS priority_rank FROM {orders}""")
-both("leave_one_out_mean", """SELECT l_orderkey, l_linenumber, round(coalesce((sum(l_quantity) OVER (PARTITION BY l_orderkey) - l_quantity) / nullif(count(*) OVER (PARTITION BY l_orderkey) - 1, 0), l_quantity), 6) AS others_mean,
+oracle("leave_one_out_mean", """SELECT l_orderkey, l_linenumber, round(coalesce((sum(l_quantity) OVER (PARTITION BY l_orderkey) - l_quantity) / nullif(count(*) OVER (PARTITION BY l_orderkey) - 1, 0), l_quantity), 6) AS others_mean,
 round(CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) - 1 AS DOUBLE) / greatest(count(*) OVER (PARTITION BY l_orderkey) - 1, 1), 6) AS rank_norm FROM {lineitem}""")
-both("quiet_stretch", """SELECT user_id, max(gap) AS longest FROM (SELECT user_id, CAST(unix_timestamp(ts) - unix_timestamp(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS BIGINT) AS gap FROM {events}) g GROUP BY user_id""",
+oracle("quiet_stretch", """SELECT user_id, max(gap) AS longest FROM (SELECT user_id, CAST(unix_timestamp(ts) - unix_timestamp(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS BIGINT) AS gap FROM {events}) g GROUP BY user_id""",
      """SELECT user_id, max(gap) AS longest FROM (SELECT user_id, CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT) AS gap FROM {events}) g GROUP BY user_id""")
-both("consecutive_dedupe", "SELECT user_id, count(*) AS kept FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM {events}) x WHERE prev IS NULL OR prev <> event_type GROUP BY user_id")
-both("gaps_islands_turns", """SELECT user_id, island, min(event_type) AS event_type, count(*) AS n FROM (SELECT user_id, event_type, sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island
+oracle("consecutive_dedupe", "SELECT user_id, count(*) AS kept FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM {events}) x WHERE prev IS NULL OR prev <> event_type GROUP BY user_id")
+oracle("gaps_islands_turns", """SELECT user_id, island, min(event_type) AS event_type, count(*) AS n FROM (SELECT user_id, event_type, sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island
 FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS chg FROM {events}) a) b GROUP BY user_id, island""".replace("sum(chg) OVER", "CAST(sum(chg) OVER").replace("UNBOUNDED PRECEDING) AS island", "UNBOUNDED PRECEDING) AS BIGINT) AS island"))
-both("timeline_union", """SELECT t, stream, id, CAST(row_number() OVER (PARTITION BY t ORDER BY stream, id) AS BIGINT) AS place FROM (SELECT CAST(o_orderdate AS DATE) AS t, 0 AS stream, o_orderkey AS id FROM {orders} WHERE o_custkey < 200
-UNION ALL SELECT CAST(l_shipdate AS DATE), 1, l_orderkey * 10 + l_linenumber FROM {lineitem} WHERE l_suppkey < 5) u""")
-both("carry_forward", """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_signup FROM {events}""",
+oracle("timeline_union", """SELECT t, stream, id, CAST(row_number() OVER (PARTITION BY t ORDER BY stream, id) AS BIGINT) AS place FROM (SELECT CAST(o_orderdate AS DATE) AS t, 0 AS stream, o_orderkey AS id FROM {orders}
+UNION ALL SELECT CAST(l_shipdate AS DATE), 1, l_orderkey * 10 + l_linenumber FROM {lineitem}) u""")
+oracle("carry_forward", """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_signup FROM {events}""",
      """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_signup FROM {events}""")
-both("tumbling_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY date_trunc('hour', ts), event_type")
-both("sliding_counts", """SELECT w.start AS start, count(*) AS n FROM (SELECT window(ts, '2 hours', '1 hour') AS w FROM {events}) x GROUP BY w.start""",
+oracle("tumbling_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY date_trunc('hour', ts), event_type")
+oracle("sliding_counts", """SELECT w.start AS start, count(*) AS n FROM (SELECT window(ts, '2 hours', '1 hour') AS w FROM {events}) x GROUP BY w.start""",
      """SELECT date_trunc('hour', ts) - to_hours(k) AS start, count(*) AS n FROM {events}, (SELECT unnest([0, 1]) AS k) GROUP BY 1""")
-both("session_windows", """SELECT user_id, count(*) AS n, min(ts) AS first_ts FROM {events} GROUP BY user_id, session_window(ts, '30 minutes')""",
+oracle("session_windows", """SELECT user_id, count(*) AS n, min(ts) AS first_ts FROM {events} GROUP BY user_id, session_window(ts, '30 minutes')""",
      """SELECT user_id, count(*) AS n, min(ts) AS first_ts FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM {events}) a) b GROUP BY user_id, s""")
-both("dedupe_watermark", "SELECT user_id, event_type, CAST(ts AS DATE) AS day, min(event_id) AS first_id FROM {events} GROUP BY user_id, event_type, CAST(ts AS DATE)")
-both("ordinal_ids", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS ordinal FROM {orders} WHERE o_orderstatus <> 'F'")
-both("average_ranks", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0D AS r FROM {part}",
+oracle("dedupe_watermark", "SELECT user_id, event_type, CAST(ts AS DATE) AS day, min(event_id) AS first_id FROM {events} GROUP BY user_id, event_type, CAST(ts AS DATE)")
+oracle("ordinal_ids", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS ordinal FROM {orders} WHERE o_orderstatus <> 'F'")
+oracle("average_ranks", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0D AS r FROM {part}",
      "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE AS r FROM {part}")
-both("last_informative_event", """SELECT user_id, max_by(event_type, event_id) AS blocker FROM {events} WHERE event_type = 'purchase' OR (event_type = 'error' AND value > 0) GROUP BY user_id""",
+oracle("last_informative_event", """SELECT user_id, max_by(event_type, event_id) AS blocker FROM {events} WHERE event_type = 'purchase' OR (event_type = 'error' AND value > 0) GROUP BY user_id""",
      """SELECT user_id, arg_max(event_type, event_id) AS blocker FROM {events} WHERE event_type = 'purchase' OR (event_type = 'error' AND value > 0) GROUP BY user_id""")
-both("soft_delete", "SELECT c_custkey, c_name FROM {customer} WHERE coalesce(CASE WHEN c_acctbal < 0 THEN 'retire' END, '') <> 'retire'")
-both("masked_reads", "SELECT substr(c_name, 1, 4) AS masked, c_custkey, c_mktsegment FROM {customer} WHERE c_acctbal > 5000")
-both("counts_with_reference_kinds", "SELECT k.kind, count(e.event_id) AS n FROM (SELECT DISTINCT event_type AS kind FROM {events} UNION SELECT 'mock') k LEFT JOIN {events} e ON e.event_type = k.kind AND e.value > 50 GROUP BY k.kind")
-both("replace_subset", "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_custkey >= 100 UNION ALL SELECT o_orderkey, 'X' FROM {orders} WHERE o_custkey < 100")
+oracle("soft_delete", "SELECT c_custkey, c_name FROM {customer} WHERE coalesce(CASE WHEN c_acctbal < 0 THEN 'retire' END, '') <> 'retire'")
+oracle("masked_reads", "SELECT substr(c_name, 1, 4) AS masked, c_custkey, c_mktsegment FROM {customer} WHERE c_acctbal > 5000")
+oracle("counts_with_reference_kinds", "SELECT k.kind, count(e.event_id) AS n FROM (SELECT DISTINCT event_type AS kind FROM {events} UNION SELECT 'mock') k LEFT JOIN {events} e ON e.event_type = k.kind AND e.value > 50 GROUP BY k.kind")
+oracle("replace_subset", "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_custkey >= 100 UNION ALL SELECT o_orderkey, 'X' FROM {orders} WHERE o_custkey < 100")
 both("json_props", "SELECT event_id, get_json_object(props, '$.k') AS k, length(props) AS n FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS k, length(props)::INTEGER AS n FROM {events}")
-both("budget_left", "SELECT user_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE greatest(20 - count(*), 0) END AS left_calls FROM {events} WHERE event_type = 'click' GROUP BY user_id")
-both("usage_row_today", "SELECT user_id, CASE WHEN max(CAST(ts AS DATE)) = DATE '2024-01-30' THEN count(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-30' THEN 1 END) ELSE 0 END AS used FROM {events} GROUP BY user_id")
-both("delete_by_owner", "SELECT count(*) AS kept, count(CASE WHEN user_id = 7 THEN 1 END) AS deleted FROM {events}")
-both("pivot_confusion", "SELECT lang, count(CASE WHEN quality = 0 THEN 1 END) AS bad, count(CASE WHEN quality = 1 THEN 1 END) AS good FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY lang")
+oracle("budget_left", "SELECT user_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE greatest(20 - count(*), 0) END AS left_calls FROM {events} WHERE event_type = 'click' GROUP BY user_id")
+oracle("usage_row_today", "SELECT user_id, CASE WHEN max(CAST(ts AS DATE)) = DATE '2024-01-30' THEN count(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-30' THEN 1 END) ELSE 0 END AS used FROM {events} GROUP BY user_id")
+oracle("delete_by_owner", "SELECT count(*) AS kept, count(CASE WHEN user_id = 7 THEN 1 END) AS deleted FROM {events}")
+oracle("pivot_confusion", "SELECT lang, count(CASE WHEN quality = 0 THEN 1 END) AS bad, count(CASE WHEN quality = 1 THEN 1 END) AS good FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY lang")
+
+
+# The same through the operators -------------------------------------------------------------------
+def _events(spark, sf):
+    return table(spark, sf, "events")
+
+
+@query()
+def join_label_fallback(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    guess = F.when(F.col("n_chars") > 200, 1).otherwise(0)
+    return relations.first_known(docs, table(spark, sf, "labels"), ["doc_id"], "quality", guess, 3.0, 1.0).select("doc_id", "label", "weight")
+
+
+@query()
+def anti_join_unlabelled(spark, sf):
+    return relations.not_done(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), ["doc_id"])
+
+
+@query()
+def anti_join_composite(spark, sf):
+    orders = table(spark, sf, "orders")
+    dear = orders.where("o_totalprice > 450000").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "o_orderpriority")
+    return relations.pairs_not_done(table(spark, sf, "nation").select("n_nationkey"), orders.select("o_orderpriority").distinct(), dear, ["n_nationkey", "o_orderpriority"])
+
+
+@query()
+def lookup_with_default(spark, sf):
+    nations = table(spark, sf, "nation").where("n_regionkey < 3")
+    return relations.lookup(table(spark, sf, "customer"), nations, "c_nationkey", "n_nationkey", "n_name", "?").select("c_custkey", F.col("found").alias("nation"))
+
+
+@query()
+def semi_join_list(spark, sf):
+    members = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
+    return relations.chosen(table(spark, sf, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"], members, "o_custkey", "c_custkey").select("o_orderkey", "o_orderstatus")
+
+
+@query()
+def reverse_unknown_ids(spark, sf):
+    labels = table(spark, sf, "labels")
+    return relations.unknown_ids(labels, table(spark, sf, "documents"), "doc_id").unionByName(labels.agg((-1 - F.count(F.lit(1))).alias("doc_id")))
+
+
+@query()
+def counts_by_category(spark, sf):
+    return relations.counts(_events(spark, sf), "event_type", "user_id").withColumnRenamed("distinct", "users")
+
+
+@query()
+def conditional_counts(spark, sf):
+    return relations.count_kinds(_events(spark, sf), "user_id", "event_type", {"errors": "error", "purchases": "purchase"})
+
+
+@query()
+def slices_grouping_sets(spark, sf):
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return relations.sliced(o, ["n_name", "o_orderpriority", "o_orderstatus"], "o_totalprice")
+
+
+@query()
+def group_mean_sd(spark, sf):
+    return relations.spread(table(spark, sf, "part"), "p_brand", "p_retailprice", "p_size")
+
+
+@query()
+def percentiles_linear(spark, sf):
+    return relations.percentiles(_events(spark, sf), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+
+
+@query()
+def distinct_in_order(spark, sf):
+    return relations.first_ids(table(spark, sf, "documents"), "source", "doc_id")
+
+
+@query()
+def latest_per_setting(spark, sf):
+    return relations.last_by(_events(spark, sf), ["user_id", "event_type"], "event_id", last_value="value")
+
+
+@query()
+def cost_estimate(spark, sf):
+    return relations.cost(table(spark, sf, "documents"), "lang", "n_chars")
+
+
+@query()
+def latest_order_per_customer(spark, sf):
+    return state.latest(table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query()
+def distinct_on_latest(spark, sf):
+    days = _events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return state.latest(days, ["user_id"], [F.desc("day")])
+
+
+@query()
+def leave_one_out_mean(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return relations.leave_one_out(rows, "l_orderkey", "l_quantity", [F.desc("l_quantity"), F.col("l_linenumber")]).drop("l_quantity")
+
+
+@query()
+def quiet_stretch(spark, sf):
+    return relations.longest_gap(_events(spark, sf), "user_id", "ts", ["ts", "event_id"])
+
+
+@query()
+def consecutive_dedupe(spark, sf):
+    kept = state.consecutive(_events(spark, sf), ["user_id"], ["ts", "event_id"], "event_type")
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query()
+def gaps_islands_turns(spark, sf):
+    runs = state.islands(_events(spark, sf), ["user_id"], ["ts", "event_id"], F.col("event_type"))
+    return runs.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def timeline_union(spark, sf):
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    return relations.merged_streams([(o, F.to_date("o_orderdate"), F.col("o_orderkey")), (l, F.to_date("l_shipdate"), F.col("l_orderkey") * 10 + F.col("l_linenumber"))])
+
+
+@query()
+def carry_forward(spark, sf):
+    e = _events(spark, sf).withColumn("signup", F.when(F.col("event_type") == "signup", F.col("event_id")))
+    return e.select("event_id", "user_id", state.carry_forward(e, ["user_id"], ["ts", "event_id"], "signup", strictly_before=True).alias("last_signup"))
+
+
+@query()
+def tumbling_counts(spark, sf):
+    e = _events(spark, sf)
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    return e.groupBy(hour.alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query()
+def sliding_counts(spark, sf):
+    e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.sliding(e, "2 hours", "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query()
+def session_windows(spark, sf):
+    e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.sessions(e, "30 minutes", "user_id")
+    return out.select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("first_ts"))
+
+
+@query()
+def dedupe_watermark(spark, sf):
+    e = _events(spark, sf).withColumn("day", F.to_date("ts"))
+    return state.latest(e, ["user_id", "event_type", "day"], [F.col("event_id")]).select("user_id", "event_type", "day", F.col("event_id").alias("first_id"))
+
+
+@query()
+def ordinal_ids(spark, sf):
+    return relations.ordinals(table(spark, sf, "orders").where("o_orderstatus <> 'F'"), "o_custkey", "o_orderkey").select("o_orderkey", "ordinal")
+
+
+@query()
+def average_ranks(spark, sf):
+    return relations.ranks_within(table(spark, sf, "part"), "p_brand", "p_size").select("p_partkey", "r")
+
+
+@query()
+def last_informative_event(spark, sf):
+    e = _events(spark, sf).where("event_type = 'purchase' OR (event_type = 'error' AND value > 0)")
+    return relations.last_by(e, ["user_id"], "event_id", blocker="event_type").select("user_id", "blocker")
+
+
+@query()
+def soft_delete(spark, sf):
+    return relations.not_retired(table(spark, sf, "customer"), F.when(F.col("c_acctbal") < 0, "retire")).select("c_custkey", "c_name")
+
+
+@query()
+def masked_reads(spark, sf):
+    return relations.masked(table(spark, sf, "customer"), "c_name", 4, F.col("c_acctbal") > 5000).select("masked", "c_custkey", "c_mktsegment")
+
+
+@query()
+def counts_with_reference_kinds(spark, sf):
+    e = _events(spark, sf)
+    kinds = e.select(F.col("event_type").alias("kind")).union(spark.createDataFrame([("mock",)], "kind string"))
+    return relations.count_all_kinds(e, kinds, "event_type", F.col("value") > 50)
+
+
+@query()
+def replace_subset(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    new = o.where("o_custkey < 100").withColumn("o_orderstatus", F.lit("X"))
+    return relations.replaced(o, new, F.col("o_custkey") < 100).select("o_orderkey", "o_orderstatus")
+
+
+@query()
+def budget_left(spark, sf):
+    return relations.left_of_budget(_events(spark, sf).where("event_type = 'click'"), "user_id", 20, F.col("user_id") % 5 == 0)
+
+
+@query()
+def usage_row_today(spark, sf):
+    return relations.used_on(_events(spark, sf), "user_id", F.to_date("ts"), F.to_date(F.lit("2024-01-30")))
+
+
+@query()
+def delete_by_owner(spark, sf):
+    _, told = relations.deleted(_events(spark, sf), F.col("user_id") == 7)
+    return told.select(F.col("all").alias("kept"), "deleted")
+
+
+@query()
+def pivot_confusion(spark, sf):
+    j = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
+    return relations.confusion(j, "lang", "quality", {"bad": 0, "good": 1})
+
+
+@query("SELECT e.event_id, e.user_id, p.event_id AS as_of FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON p.user_id = e.user_id AND p.ts <= e.ts WHERE e.event_type = 'click'")
+def as_of_join(spark, sf):
+    """The last purchase at or before each click."""
+    e = _events(spark, sf).select("event_id", "user_id", "ts", "event_type")
+    bought = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+    return relations.as_of(e.where("event_type = 'click'"), bought, "user_id", "ts", "event_id").select("event_id", "user_id", "as_of")
 
 
 # State --------------------------------------------------------------------------------------------

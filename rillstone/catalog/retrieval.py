@@ -31,11 +31,10 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """First six distinct tokens of each item, with filters derived from its id."""
-    short = F.array_join(F.slice(text.query_tokens(F.col("text")), 1, 6), " ")
+    """The whole text of each item as a query, with filters derived from its id."""
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"),
-        short.alias("query"),
+        F.col("text").alias("query"),
         F.expr("CASE WHEN item_id % 3 = 0 THEN 'src' || (item_id % 20) WHEN item_id % 3 = 1 THEN 'Any course topic' END").alias("module"),
         F.expr("element_at(array('Entry-level', 'Mid-level', 'Senior', 'Staff', 'unknown'), cast(item_id % 5 as int) + 1)").alias("level"),
         F.expr("CASE WHEN item_id % 2 = 0 THEN sequence(0L, item_id) ELSE cast(array() as array<bigint>) END").alias("exclude"),
@@ -48,9 +47,7 @@ doc AS (SELECT doc_id AS idx, source AS module, lang, {DIFFICULTY} AS difficulty
 stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM doc),
 post AS (SELECT idx, dl, term, count(*) AS tf FROM (SELECT idx, len(toks) AS dl, unnest(toks) AS term FROM doc) GROUP BY ALL),
 idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM stats) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term),
-qtok AS (SELECT item_id AS qid, unnest(list_transform(generate_series(1, len(t)), lambda i: struct_pack(i := i, t := t[i]))) AS x FROM (SELECT item_id, {TOK} AS t FROM benchmark)),
-qfirst AS (SELECT qid, x.t AS term, min(x.i) AS i FROM qtok GROUP BY ALL),
-qterm AS (SELECT qid, term FROM qfirst QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i) <= 6),
+qterm AS (SELECT DISTINCT item_id AS qid, unnest({TOK}) AS term FROM benchmark),
 scored AS (SELECT q.qid, p.idx, round(sum(i.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / (SELECT avgdl FROM stats)))), 6) AS score
   FROM qterm q JOIN post p ON p.term = q.term JOIN idf i ON i.term = q.term GROUP BY ALL)"""
 
@@ -90,13 +87,11 @@ def bm25_exclude(spark, sf):
     return sizes.join(gone, "qid", "left").select("qid", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("pool"))
 
 
-@query("""WITH d AS (SELECT doc_id AS idx FROM documents WHERE source = 'src1') SELECT item_id AS qid, row_number() OVER (PARTITION BY item_id ORDER BY idx)::INTEGER AS rank, idx, 0.0::DOUBLE AS score
-FROM benchmark, d WHERE item_id < 5""")
+@query("""SELECT item_id AS qid, row_number() OVER (PARTITION BY item_id ORDER BY doc_id)::INTEGER AS rank, doc_id AS idx, 0.0::DOUBLE AS score
+FROM benchmark JOIN documents ON item_id % 3 <> 0 OR source = 'src' || (item_id % 20)""")
 def bm25_fallback_pool(spark, sf):
-    """Queries that match nothing get their whole pool in order."""
-    q = table(spark, sf, "benchmark").where("item_id < 5").select(
-        F.col("item_id").alias("qid"), F.lit("zzzzqq").alias("query"), F.lit("src1").alias("module"), F.lit(None).cast("string").alias("level"), F.expr("cast(array() as array<bigint>)").alias("exclude")
-    )
+    """Queries that match nothing get their whole pool, each item's own module, in order."""
+    q = items(spark, sf).select("qid", F.lit("zzzzqq").alias("query"), "module", F.lit(None).cast("string").alias("level"), F.expr("cast(array() as array<bigint>)").alias("exclude"))
     return R.search(corpus(spark, sf), q)
 
 
@@ -117,7 +112,7 @@ def vector_queries(spark, sf):
 
 @query(f"WITH {DENSE_CTE} SELECT qid, idx, score, r::INTEGER AS rank FROM (SELECT qid, idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS r FROM dense) WHERE r <= 5")
 def dense_topk(spark, sf):
-    return R.top_k(R.dense_scores(vectors(spark, sf), vector_queries(spark, sf)), 5)
+    return R.top_k(R.dense_scores(vectors(spark, sf), vector_queries(spark, sf), k=5), 5)
 
 
 @query(f"WITH {DENSE_CTE} SELECT qid, idx, score, r::INTEGER AS rank FROM (SELECT qid, idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS r FROM dense WHERE label = qlabel AND idx <> qid) WHERE r <= 3")
@@ -131,7 +126,7 @@ EMBED_CTE = f"""
 slots AS (SELECT idx, ('0x' || right(md5(term), 2))::INTEGER % 64 AS slot FROM (SELECT idx, unnest(toks) AS term FROM doc)),
 grid AS (SELECT idx, s.slot FROM doc, (SELECT unnest(range(64)) AS slot) s),
 emb AS (SELECT g.idx, list(coalesce(c.n, 0)::DOUBLE ORDER BY g.slot) AS vector FROM grid g LEFT JOIN (SELECT idx, slot, count(*) AS n FROM slots GROUP BY ALL) c ON c.idx = g.idx AND c.slot = g.slot GROUP BY g.idx),
-qslots AS (SELECT qid, ('0x' || right(md5(term), 2))::INTEGER % 64 AS slot FROM qterm),
+qslots AS (SELECT qid, ('0x' || right(md5(term), 2))::INTEGER % 64 AS slot FROM (SELECT item_id AS qid, unnest({TOK}) AS term FROM benchmark)),
 qgrid AS (SELECT qid, s.slot FROM (SELECT DISTINCT qid FROM qterm), (SELECT unnest(range(64)) AS slot) s),
 qemb AS (SELECT g.qid, list(coalesce(c.n, 0)::DOUBLE ORDER BY g.slot) AS qv FROM qgrid g LEFT JOIN (SELECT qid, slot, count(*) AS n FROM qslots GROUP BY ALL) c ON c.qid = g.qid AND c.slot = g.slot GROUP BY g.qid),
 hdense AS (SELECT qid, idx, round(list_dot_product(vector, qv) / (greatest(sqrt(list_dot_product(vector, vector)), 1e-12) * greatest(sqrt(list_dot_product(qv, qv)), 1e-12)), 6) AS score FROM emb, qemb),
@@ -140,11 +135,11 @@ dr AS (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 fused AS (SELECT qid, idx, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM br UNION ALL SELECT * FROM dr) GROUP BY ALL)"""
 
 
-def hashed(spark, sf):
+def hashed(spark, sf, k=None):
     c, q = corpus(spark, sf), items(spark, sf)
     doc_vectors = R.hash_embed(c)
     query_vectors = R.hash_embed(q.select(F.col("qid").alias("idx"), F.col("query").alias("text"))).withColumnRenamed("idx", "qid")
-    return R.dense_scores(doc_vectors, query_vectors)
+    return R.dense_scores(doc_vectors, query_vectors, k=k)
 
 
 @query(f"WITH {BM25_CTE}, {EMBED_CTE} SELECT idx, round(sqrt(list_dot_product(vector, vector)), 6) AS norm, list_position(vector, list_max(vector))::INTEGER AS top_slot FROM emb")
@@ -176,7 +171,7 @@ def rrf_fusion(spark, sf):
 @query(f"""WITH {BM25_CTE}, {EMBED_CTE}, x AS (SELECT qid, list(idx ORDER BY r) AS l FROM br WHERE r <= 5 GROUP BY qid), y AS (SELECT qid, list(idx ORDER BY r) AS m FROM dr WHERE r <= 5 GROUP BY qid)
 SELECT count(*) AS queries, count(*) FILTER (l = m) AS identical, round(avg(len(list_intersect(l, m)) / greatest(len(list_distinct(list_concat(l, m))), 1)), 6) AS mean_jaccard FROM x JOIN y USING (qid)""")
 def store_agreement(spark, sf):
-    return R.agreement(R.top_k(R.bm25_scores(corpus(spark, sf), items(spark, sf)), 5), R.top_k(hashed(spark, sf), 5))
+    return R.agreement(R.top_k(R.bm25_scores(corpus(spark, sf), items(spark, sf)), 5), R.top_k(hashed(spark, sf, 5), 5))
 
 
 @query(f"""WITH {BM25_CTE}, tops AS (SELECT s.qid, s.idx, s.score, d.lang AS bank, row_number() OVER (PARTITION BY s.qid, d.lang ORDER BY s.score DESC, s.idx) AS r FROM scored s JOIN doc d USING (idx))
@@ -194,7 +189,7 @@ seen AS (SELECT qid, idx, min(struct_pack(arm := arm, r := r)) AS a FROM lists G
 SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY a, idx)::INTEGER AS place FROM seen s WHERE NOT EXISTS (FROM prop p WHERE p.qid = s.qid AND p.idx = s.idx) QUALIFY place <= 6""")
 def skim_pool(spark, sf):
     b = R.top_k(R.bm25_scores(corpus(spark, sf), items(spark, sf)), 3)
-    d = R.top_k(hashed(spark, sf), 3)
+    d = R.top_k(hashed(spark, sf, 3), 3)
     lists = b.select("qid", "idx", "rank", F.lit(0).alias("arm")).unionByName(d.select("qid", "idx", "rank", F.lit(1).alias("arm")))
     return R.skim(lists, b.where("rank = 1"))
 

@@ -31,7 +31,7 @@ def chunks(spark, sf) -> DataFrame:
     s = text.sentences(F.col("text"))
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("chunk_id"), F.coalesce(F.get(s, F.lit(0)), F.lit("")).alias("question"), F.col("text").alias("model_answer"),
-        F.slice(s, 2, 5).alias("key_points"), F.slice(s, 1, 1).alias("common_mistakes"), F.coalesce(F.get(s, F.lit(0)), F.lit("topic")).alias("topic"),
+        F.slice(s, 2, F.greatest(F.size(s), F.lit(1))).alias("key_points"), F.slice(s, 1, 1).alias("common_mistakes"), F.coalesce(F.get(s, F.lit(0)), F.lit("topic")).alias("topic"),
     )
 
 

@@ -158,23 +158,121 @@ def route(pred: Column, frac_hit: Column, paid: Column, quota_left: Column, budg
     return F.when(keep_local(pred, frac_hit) | ~paid, "local").when(quota_left > 0, "claude").when(budget_left > 0, "other").otherwise("local")
 
 
-def synthetic_answers(chunks: DataFrame, seed: int = 42) -> DataFrame:
-    """(row_id, chunk_id, tier, answer, label): text recipes of graded quality, choices drawn from digests."""
+# Openings and texts of made-up answers.
+OPENINGS = ("So basically, ", "I'd say ", "")
+LINKS = ("", "Also, ", "And ")
+STARTS = ("Um, so ", "Okay so ", "I think ")
+VAGUE = (
+    "Good question. For {topic} I would follow the standard best practices, use the common tools, and evaluate carefully. It really depends on the data and the use case, so I would experiment with a few approaches and pick whichever works best.",
+    "I would start by looking closely at {topic} and trying a few standard techniques to see what works. If the results are not good I would tune things and iterate. In my experience it is important to be careful and follow a solid process.",
+)
+VAGUE_SHORT = (
+    "It depends on the situation and the data. I would try a few different approaches and compare the results to see which one works best.",
+    "I would follow best practices and use the standard methods for this. Honestly it depends on the specifics.",
+    "I'm not totally sure, I haven't worked with this much before, but I would probably experiment and see what works.",
+)
+STYLES = ("lowercase", "strip_punct", "typos", "filler", "bulletize")
+
+
+def draw(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) from a digest: the same row draws the same number anywhere."""
+    text_ = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text_), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def pick(options: tuple[str, ...], u: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, options)), F.floor(u * len(options)).cast("int") + 1)
+
+
+def word_dropout(answer: Column, rate: float, seed: int, key: Column) -> Column:
+    """The answer without about ``rate`` of its words, or as it is if fewer than five would be left."""
+    kept = F.filter(text.words(answer), lambda w, i: draw(seed, key, i) > rate)
+    return F.when(F.size(kept) >= 5, F.array_join(kept, " ")).otherwise(answer)
+
+
+def styles(seed: int, key: Column) -> Column:
+    """One or two of the STYLES, in drawn order."""
+    order = F.array_sort(F.array(*[F.struct(draw(seed, key, F.lit(s)).alias("u"), F.lit(s).alias("s")) for s in STYLES]))
+    n = F.when(draw(seed, key, F.lit("n")) < 0.5, 1).otherwise(2)
+    return F.transform(F.slice(order, 1, n), lambda x: x["s"])
+
+
+def corrupt(answer: Column, chosen: Column, seed: int, key: Column) -> Column:
+    """The answer with each chosen style applied in turn; none changes what the answer is worth."""
+
+    def typo(w: Column, i: Column) -> Column:
+        at = F.floor(draw(seed, key, F.lit("at"), i) * (F.length(w) - 1)).cast("int")
+        swapped = F.concat(F.substr(w, F.lit(1), at), F.substr(w, at + 2, F.lit(1)), F.substr(w, at + 1, F.lit(1)), F.substr(w, at + 3))
+        return F.when((F.length(w) > 4) & (draw(seed, key, F.lit("typo"), i) < 0.04), swapped).otherwise(w)
+
+    def apply(a: Column, s: Column) -> Column:
+        points = F.array_join(F.transform(text.sentences(a), lambda x: F.concat(F.lit("- "), x)), "\n")
+        return (
+            F.when(s == "lowercase", F.lower(a))
+            .when(s == "strip_punct", F.replace(F.regexp_replace(a, "[,;]", ""), F.lit("."), F.lit(" ")))
+            .when(s == "typos", F.array_join(F.transform(text.words(a), typo), " "))
+            .when(s == "filler", F.concat(pick(STARTS, draw(seed, key, F.lit("start"))), a))
+            .otherwise(F.when(points != "", points).otherwise(a))
+        )
+
+    return F.aggregate(chosen, answer, apply)
+
+
+def synthetic_answers(chunks: DataFrame, seed: int = 42, corrupted: float = 0.5) -> DataFrame:
+    """(row_id, chunk_id, tier, style, answer, label): texts of graded quality made from a chunk by recipes,
+    all choices drawn from digests; a share of ``corrupted`` rows gets one or two styles.
+
+    ``chunks`` may have ``content`` (prose that an extract is taken from).  The off-topic answers are those of
+    the next chunk in the order of digests, the first one's for the last: chunks are ranked by digest within
+    buckets, so no window spans them all.
+    """
     from .sampling import hash_order
 
-    s = text.sentences(F.col("model_answer"))
-    topic = F.lower("topic")
-    dropped = lambda share: F.array_join(F.filter(F.split("model_answer", " "), lambda w, i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("chunk_id").cast("string"), i.cast("string"))), 1, 2), 16, 10).cast("int") >= int(256 * share)), " ")
-    shuffled = F.transform(F.array_sort(F.transform(s, lambda x: F.struct(hash_order(seed, x).alias("h"), x.alias("x")))), lambda x: x["x"])
-    half = F.greatest(F.floor(F.size(s) / 2).cast("int"), F.lit(1))
-    recipe = lambda tier, answer, label: F.struct(F.lit(tier).alias("tier"), answer.alias("answer"), F.lit(label).alias("label"))
+    if "content" not in chunks.columns:
+        chunks = chunks.withColumn("content", F.lit(None).cast("string"))
+    key = F.col("chunk_id").cast("string")
+    ranked = chunks.withColumn("_h", hash_order(seed, key))
+    # the chunk with the next digest in the same bucket; a bucket's last one takes its first
+    bucket = Window.partitionBy(F.substring("_h", 1, 1)).orderBy("_h", "chunk_id")
+    every = Window.partitionBy(F.substring("_h", 1, 1))
+    first = F.min(F.struct("_h", "chunk_id", "model_answer")).over(every)
+    other = F.coalesce(F.lead(F.struct("_h", "chunk_id", "model_answer")).over(bucket), first)
+    base = ranked.withColumn("_o", other).withColumn("other", F.when(F.col("_o.chunk_id") != F.col("chunk_id"), F.col("_o.model_answer"))).drop("_h", "_o")
+
+    s, topic = text.sentences(F.col("model_answer")), F.lower("topic")
+    n = F.size(s)
+    shuffled = F.transform(F.array_sort(F.transform(s, lambda x, i: F.struct(draw(seed, key, F.lit("order"), i).alias("u"), x.alias("x")))), lambda x: x["x"])
+    prose = F.filter(text.sentences(F.regexp_replace(F.coalesce("content", F.lit("")), r"(?s)```.*?```", " ")), lambda x: F.length(x) >= 40)
+    take = 2 + F.floor(draw(seed, key, F.lit("take")) * (F.least(F.lit(4), F.size(prose)) - 1)).cast("int")
+    start = F.floor(draw(seed, key, F.lit("start")) * (F.size(prose) - take + 1)).cast("int")
+    extract = F.when(F.size(prose) >= 2, F.concat(F.array_join(F.slice(prose, start + 1, F.greatest(take, F.lit(0))), ". "), F.lit(".")))
+
+    def partial(which: str) -> tuple[Column, Column]:
+        """Some of the sentences in order, and a label by their share."""
+        k = 1 + F.floor(draw(seed, key, F.lit(which)) * (n - 1)).cast("int")
+        order = F.slice(F.array_sort(F.transform(s, lambda x, i: F.struct(draw(seed, key, F.lit(which), i).alias("u"), i.alias("i")))), 1, F.greatest(k, F.lit(0)))
+        kept = F.filter(s, lambda x, i: F.exists(order, lambda o: o["i"] == i))
+        return F.concat(F.array_join(kept, ". "), F.lit(".")), F.greatest(F.lit(2), F.least(F.lit(8), F.rint(2 + 7 * k / F.nullif(n, F.lit(0))).cast("int")))
+
+    (some, worth), (some_2, worth_2) = partial("partial"), partial("partial_2")
+    point = lambda p, i: F.concat(pick(LINKS, draw(seed, key, F.lit("link"), i)), p, F.lit("."))
+    recipe = lambda tier, answer, label: F.struct(F.lit(tier).alias("tier"), answer.alias("answer"), (F.lit(label) if isinstance(label, int) else label).alias("label"))
+    other_s = text.sentences(F.col("other"))
     recipes = F.array(
-        recipe("model_answer", F.col("model_answer"), 9), recipe("paraphrase_lite", F.lower(dropped(0.15)), 8),
-        recipe("keypoint_recall", F.array_join(F.transform("key_points", lambda p: F.concat(p, F.lit("."))), " "), 7),
-        recipe("paraphrase_heavy", F.array_join(shuffled, ". "), 6), recipe("partial", F.concat(F.array_join(F.slice(s, 1, half), ". "), F.lit(".")), 5),
-        recipe("fragment", F.concat(F.coalesce(F.get(s, F.lit(0)), F.col("model_answer")), F.lit(".")), 3),
-        recipe("vague", F.concat(F.lit("It is about "), topic, F.lit(" and it depends.")), 2),
-        recipe("question_echo", F.concat(F.lit("I guess the question asks about "), topic, F.lit(": "), F.col("question")), 1),
+        recipe("model_answer", F.col("model_answer"), 9),
+        recipe("paraphrase_lite", F.concat(pick(OPENINGS, draw(seed, key, F.lit("opening"))), F.lower(word_dropout(F.col("model_answer"), 0.15, seed, key))), 8),
+        recipe("keypoint_recall", F.array_join(F.transform("key_points", point), " "), 7),
+        recipe("paraphrase_heavy", word_dropout(F.array_join(shuffled, ". "), 0.3, seed + 1, key), 6),
+        recipe("content_extract", extract, 7),
+        recipe("partial", F.when(n >= 2, some), worth), recipe("partial_2", F.when(n >= 3, some_2), worth_2),
+        recipe("fragment", F.coalesce(F.concat(F.get(s, F.lit(0)), F.lit(".")), F.col("model_answer")), 3),
+        recipe("vague", F.replace(pick(VAGUE, draw(seed, key, F.lit("vague"))), F.lit("{topic}"), topic), 2),
+        recipe("vague_short", pick(VAGUE_SHORT, draw(seed, key, F.lit("short"))), 2),
+        recipe("question_echo", F.concat(F.lit("Honestly I am not completely sure. I guess the question is really asking about "), topic, F.lit(": "), F.col("question"), F.lit(" That is a tricky one.")), 1),
+        recipe("off_topic", F.col("other"), 1), recipe("off_topic_short", F.concat(F.get(other_s, F.lit(0)), F.lit(".")), 1),
     )
-    rows = chunks.select("chunk_id", F.inline(recipes))
-    return rows.select(F.concat_ws("/", F.col("chunk_id").cast("string"), "tier").alias("row_id"), "chunk_id", "tier", "answer", "label")
+    rows = base.select("chunk_id", F.inline(recipes)).where("answer IS NOT NULL")
+    row_id = F.concat_ws("/", F.col("chunk_id").cast("string"), "tier")
+    chosen = F.when(draw(seed, row_id, F.lit("corrupt")) < corrupted, styles(seed, row_id)).otherwise(F.array().cast("array<string>"))
+    rows = rows.select(row_id.alias("row_id"), "chunk_id", "tier", chosen.alias("style"), "answer", "label")
+    return rows.withColumn("answer", corrupt(F.col("answer"), F.col("style"), seed, F.col("row_id")))

@@ -185,10 +185,10 @@ def cosine_dedupe(spark, sf):
     return dedupe.greedy_merge(v, dedupe.cosine_pairs(v, 0.35))
 
 
-@query(f"""WITH c AS (SELECT item_id AS idx, {ladder("lower(text)", (("followup", text.FOLLOWUP), *text.CATEGORIES), "'behavioral'")} AS category, substr(text, 1, 1) AS intent FROM benchmark)
-SELECT idx, category, intent, CASE WHEN category IN ('behavioral', 'experience') THEN min(idx) OVER (PARTITION BY CASE WHEN category IN ('behavioral', 'experience') THEN intent END) ELSE idx END AS canon FROM c""")
+@query(f"""WITH c AS (SELECT item_id AS idx, {ladder("lower(text)", (("followup", text.FOLLOWUP), *text.CATEGORIES), "'behavioral'")} AS category, {ladder("lower(text)", text.INTENTS, "NULL")} AS intent FROM benchmark)
+SELECT idx, category, intent, CASE WHEN category IN ('behavioral', 'experience') AND intent IS NOT NULL THEN min(idx) OVER (PARTITION BY CASE WHEN category IN ('behavioral', 'experience') THEN intent END) ELSE idx END AS canon FROM c""")
 def intent_merge(spark, sf):
-    c = table(spark, sf, "benchmark").select(F.col("item_id").alias("idx"), text.classify(F.col("text")).alias("category"), F.substring("text", 1, 1).alias("intent"))
+    c = table(spark, sf, "benchmark").select(F.col("item_id").alias("idx"), text.classify(F.col("text")).alias("category"), text.intent_of(F.col("text")).alias("intent"))
     return dedupe.merge_by_intent(c)
 
 
@@ -262,10 +262,10 @@ def conversation_tail(spark, sf):
 
 @query()
 def wer_pairs(spark, sf):
-    """Word error rate of each benchmark item against the first line of the document that shares most shingles."""
+    """Word error rate of each benchmark item against the document that shares most shingles with it."""
     best = shingle_contamination(spark, sf).groupBy("item_id").agg(F.min_by("doc_id", F.struct(-F.col("shared"), "doc_id")).alias("doc_id"))
     j = best.join(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b")), "item_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    ref, hyp = text.spoken_tokens(F.col("b")), F.slice(text.spoken_tokens(F.col("text")), 1, 60)
+    ref, hyp = text.spoken_tokens(F.col("b")), text.spoken_tokens(F.col("text"))
     return j.select("item_id", "doc_id", ref.alias("ref"), hyp.alias("hyp")).select("item_id", "doc_id", transcripts.word_distance(F.col("ref"), F.col("hyp")).alias("edits"), F.round(transcripts.wer(F.col("ref"), F.col("hyp")), 6).alias("wer"))
 
 

@@ -312,6 +312,53 @@ def rst_to_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
+def pydoc_to_text(source: Column, symbol: str) -> Column:
+    """The docstring of a class in Python source, dedented, as text; null without one."""
+    pattern = rf"(?sm)^class \Q{symbol}\E\b[^\n]*:\n\s+(\x22{{3}}|\x27{{3}})(.*?)\1"
+    doc = F.nullif(F.regexp_extract(source, pattern, 2), F.lit(""))
+    rows = F.split(doc, "\n")
+    margins = F.transform(F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))
+    margin = F.coalesce(F.array_min(margins), F.lit(0))
+    flat = F.transform(rows, lambda x, i: F.when(i == 0, F.ltrim(x)).otherwise(F.substr(x, margin + 1)))
+    return rst_to_text(F.array_join(flat, "\n"))
+
+
+# What a line of code outside fences looks like, and words that tell steps.
+CODE_LINE = (
+    r"^\s*(?:\w+(?:\[[^\]]*\])?\s*[-+*/]?=\s*\S|def\s+\w+\(|class\s+\w+|(?:for|while|if|elif|else|try|except|with)\b[^\n]*:\s*$"
+    r"|return\b|import\s+\w+|from\s+\w+\s+import\b|\w+\([^)]*\)\s*$)"
+)
+STEP_WORDS = r"(?i)\b(first|then|next|finally|after that|loop|iterate|for each|return|update|increment|decrement|while)\b"
+
+
+def code_lines(reply: Column) -> Column:
+    """Lines of code: all that is not blank between fences, and lines outside that read as code."""
+    rows = F.split(F.coalesce(reply, F.lit("")), "\n")
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("fenced"))
+
+    def step(s: Column, row: Column) -> Column:
+        fence = F.trim(row).startswith("```")
+        counts = F.when(s["fenced"], F.trim(row) != "").otherwise(row.rlike(CODE_LINE))
+        return F.struct((s["n"] + F.when(~fence & counts, 1).otherwise(0)).alias("n"), (s["fenced"] != fence).alias("fenced"))
+
+    return F.aggregate(rows, start, step, lambda s: s["n"])
+
+
+def prose_suspect(reply: Column, level: Column) -> Column:
+    """Whether a reply may give away a procedure: long at level 2; long and in steps below."""
+    t = F.coalesce(reply, F.lit(""))
+    n, steps = F.regexp_count(t, F.lit(r"\w+")), F.regexp_count(t, F.lit(r"(?m)^\s*(?:\d+[.)]|[-*])\s+"))
+    return F.when(level == 2, n > 55).otherwise((n > 60) & ((steps >= 3) | (F.regexp_count(t, F.lit(STEP_WORDS)) >= 5)))
+
+
+def render(body: Column, **slots: Column) -> Column:
+    """A template with its ``{slot}`` places filled; doubled braces are braces."""
+    out = F.replace(F.replace(body, F.lit("{{"), F.lit("\x01")), F.lit("}}"), F.lit("\x02"))
+    for name, value in slots.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return F.replace(F.replace(out, F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
+
+
 def clock(seconds: Column) -> Column:
     s = F.floor(seconds).cast("int")
     return F.format_string("[%02d:%02d]", F.floor(s / 60).cast("int"), (s % 60).cast("int"))

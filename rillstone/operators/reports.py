@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
@@ -117,6 +117,52 @@ def best_arm(runs: DataFrame, metric: str = "qwk") -> DataFrame:
     return per.orderBy(F.desc("mean"), "arm").limit(1)
 
 
+def collect_runs(spark: SparkSession, pattern: str) -> DataFrame:
+    """The JSON documents that match a glob, with ``name`` (the arm, ``-silver`` for that variant) and the
+    file; smoke and serving runs are left out, the last file of a name and seed counts."""
+    runs = spark.read.option("multiLine", True).json(pattern).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    for column, kind in (("smoke", "boolean"), ("variant", "string")):
+        if column not in runs.columns:
+            runs = runs.withColumn(column, F.lit(None).cast(kind))
+    kept = runs.where(~F.coalesce(F.col("smoke"), F.lit(False)) & ~F.col("file").startswith("serve_"))
+    kept = kept.withColumn("name", F.concat("arm", F.when(F.col("variant") == "silver", "-silver").otherwise("")))
+    last = F.row_number().over(Window.partitionBy("name", "seed").orderBy(F.desc("file")))
+    return kept.withColumn("_r", last).where("_r = 1").drop("_r")
+
+
+def coverage_split(probes: DataFrame, candidates: DataFrame, arm: str = "bm25") -> DataFrame:
+    """(split, total, covered, uncovered) of probes (probe_id, covered) and candidates (probe_id, label,
+    attached_by): probes that ``arm`` leaves ungrounded, and candidates that each arm attaches unfairly - was a
+    fair chunk there (a retrieval miss) or not (a content gap)?  A probe without a label is an error."""
+    bad = ~F.coalesce(F.col("covered").isin("covered", "uncovered"), F.lit(False))
+    checked = probes.where(F.when(bad, F.raise_error(F.concat(F.lit("no label: "), F.col("probe_id").cast("string"))).cast("boolean")).otherwise(F.lit(True)))
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(F.col("covered") == "covered").alias("covered"), F.count_if(F.col("covered") == "uncovered").alias("uncovered")]
+    grounded = candidates.where(F.array_contains("attached_by", arm)).select("probe_id").distinct()
+    ungrounded = checked.join(grounded, "probe_id", "left_anti").agg(*counts).select(F.lit(f"ungrounded_{arm}").alias("split"), "total", "covered", "uncovered")
+    unfair = candidates.where(F.col("label") == "no").select("probe_id", F.explode("attached_by").alias("arm")).join(checked.select("probe_id", "covered"), "probe_id")
+    return ungrounded.unionByName(unfair.groupBy("arm").agg(*counts).select(F.concat(F.lit("unfair_"), "arm").alias("split"), "total", "covered", "uncovered"))
+
+
+def policy_stats(decisions: DataFrame, fair: DataFrame, precision_min: float, coverage_min: float) -> DataFrame:
+    """(policy, attached, fair, precision, coverage, attach_rate, passes) of decisions (probe_id, policy, chunk_id;
+    null: nothing attached) and fair pairs (probe_id, chunk_id)."""
+    n = decisions.agg(F.count_distinct("probe_id").alias("n"))
+    judged = decisions.join(fair.select("probe_id", "chunk_id").distinct().withColumn("ok", F.lit(1)), ["probe_id", "chunk_id"], "left")
+    per = judged.groupBy("policy").agg(F.count("chunk_id").alias("attached"), F.count(F.when(F.col("chunk_id").isNotNull(), F.col("ok"))).alias("fair"))
+    precision, coverage = F.try_divide(F.col("fair"), F.col("attached")), F.col("fair") / F.col("n")
+    passes = F.coalesce((precision >= precision_min) & (coverage >= coverage_min), F.lit(False))
+    return per.crossJoin(F.broadcast(n)).select(
+        "policy", "attached", "fair", F.round(precision, 4).alias("precision"), F.round(coverage, 4).alias("coverage"),
+        F.round(F.col("attached") / F.col("n"), 4).alias("attach_rate"), passes.alias("passes"),
+    )
+
+
+def policy_winner(stats: DataFrame, simplest_first: list[str]) -> DataFrame:
+    """The passing policy of the highest coverage, the simpler one at a tie: one row or none."""
+    rank = F.array_position(F.array(*map(F.lit, simplest_first)), F.col("policy"))
+    return stats.where("passes").orderBy(F.desc("coverage"), rank).limit(1)
+
+
 def sentence_candidates(docs: DataFrame, low: int = 8, high: int = 32) -> DataFrame:
     """(id, n, sentence): clean prose of ``low`` to ``high`` words that begins with a capital or a digit."""
     s = docs.select("id", F.posexplode(F.split(F.regexp_replace("text", r"(?s)```.*?```", " "), r"(?<=[.!?])\s+")).alias("n", "sentence"))

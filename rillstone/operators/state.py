@@ -18,6 +18,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str]) ->
     return j.select(*[F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in keys], *[(pick(c) if c in new.columns else F.col(f"o.{c}")).alias(c) for c in value])
 
 
+def update_where(df: DataFrame, where: Column, changes: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows after the update, one row with the number of rows that it changed)."""
+    hit = F.coalesce(where, F.lit(False))
+    out = df.select(*[F.when(hit, changes[c].cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in df.columns])
+    return out, df.agg(F.count_if(hit).alias("changed"))
+
+
+def expire(df: DataFrame, touched: str, now: Column, ttl_seconds: int) -> DataFrame:
+    """The rows touched within the last ``ttl_seconds``."""
+    return df.where(F.unix_timestamp(now) - F.unix_timestamp(touched) <= ttl_seconds)
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The rows of ``new`` that are inserted: unknown keys, the first of each."""
     fresh = new.join(old.select(*keys), keys, "left_anti")

@@ -268,8 +268,8 @@ def token_stream(events: DataFrame) -> DataFrame:
 
 
 def env_settings(spark: SparkSession, path: str) -> dict[str, str]:
-    """key=value lines of a small settings file; comments and blank lines are skipped."""
-    lines = (r[0].strip() for r in spark.read.text(path).limit(10_000).collect())
+    """key=value lines of a settings file, all of them; comments and blank lines are skipped."""
+    lines = (r[0].strip() for r in spark.read.text(path, wholetext=False).where("value LIKE '%=%'").toLocalIterator())
     pairs = (x.partition("=") for x in lines if x and not x.startswith("#") and "=" in x)
     return {k.strip(): v.strip().strip("\"'") for k, _, v in pairs}
 

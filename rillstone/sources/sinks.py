@@ -21,16 +21,36 @@ def append_new(new: DataFrame, path: str, key: str) -> DataFrame:
     return spark.read.schema(new.schema).parquet(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap: readers see the old or the new rows, never a part."""
+    """Write beside the target, then swap by two renames: the old rows step aside, the new ones take their
+    place, and only then the old ones go.  Whatever fails, all rows of one version are in ``path`` or, between
+    the renames, in ``path``.old, from where the next call (or ``recover``) brings them back."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".staged")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    recover(spark, path)
+    fs, Path = _fs(spark, path)
     df.write.mode("overwrite").parquet(path + ".staged")
-    fs.delete(target, True)
-    if not fs.rename(staged, target):
+    if fs.exists(Path(path)) and not fs.rename(Path(path), Path(path + ".old")):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(Path(path + ".staged"), Path(path)):
+        recover(spark, path)
         raise OSError(f"cannot rename {path}.staged")
+    fs.delete(Path(path + ".old"), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back the rows that a broken ``replace`` has moved aside."""
+    fs, Path = _fs(spark, path)
+    if fs.exists(Path(path + ".old")):
+        if fs.exists(Path(path)):
+            fs.delete(Path(path + ".old"), True)
+        elif not fs.rename(Path(path + ".old"), Path(path)):
+            raise OSError(f"cannot bring {path}.old back")
 
 
 def write_bank(records: DataFrame, path: str, order: list[Column]) -> None:
@@ -54,13 +74,15 @@ def corpus_fingerprint(df: DataFrame, columns: list[str]) -> str:
 
 
 def load_or_build(spark: SparkSession, root: str, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A view stored under its content's fingerprint: a hit is read, a miss is built and older ones go."""
+    """A view stored under its content's fingerprint: a hit (a folder with Spark's success mark) is read, a
+    miss is built beside the older ones, which go when it is whole."""
     folder, path = f"{root}/{name}", f"{root}/{name}/fp={key}"
-    if not exists(spark, path):
-        jvm = spark.sparkContext._jvm
-        base = jvm.org.apache.hadoop.fs.Path(folder)
-        base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(base, True)
-        build().write.parquet(path)
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+        fs, Path = _fs(spark, folder)
+        for old in fs.listStatus(Path(folder)):
+            if old.getPath().getName() != f"fp={key}":
+                fs.delete(old.getPath(), True)
     return spark.read.parquet(path)
 
 

@@ -103,7 +103,8 @@ class Text:
         self.docs = np.searchsorted(self.ends, self.anchors, side="right")
 
     def _sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the anchors, found PIECE bytes at a time."""
+        """Positions and hashes of the anchors, found PIECE bytes at a time.  The least hashes are small
+        numbers: they are mixed again, so that buckets of them are even."""
         n = len(self.data)
         whole = np.zeros(n + 1, np.int8)  # where SPAN bytes lie within a document
         long = self.lengths >= SPAN
@@ -124,7 +125,8 @@ class Text:
             at = at[(at + first >= low) & (at + first < low + PIECE)]
             ats.append(at + first)
             hashes.append(hashed[at])
-        return np.concatenate(ats), np.concatenate(hashes)
+        mixed = np.concatenate(hashes) * np.uint64(ODD)
+        return np.concatenate(ats), (mixed ^ (mixed >> np.uint64(32))) * np.uint64(ODD)
 
     def suffixes(self, chosen: np.ndarray) -> np.ndarray:
         """(len(chosen), KEY): key of each chosen anchor (indices into ``anchors``)."""
@@ -537,10 +539,9 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ahead[whole], back[whole] = SPAN, 0
         valid = (np.int64(1) << back + 1) - (np.int64(1) << SPAN - ahead)
         bits = np.where(over, np.int64(-1), mask[entry]) & np.maximum(valid, 0)
-        for o in range(REACH + 1):
-            at = position[bits >> o & 1 == 1] - o
-            out += np.bincount(at, minlength=len(out)).astype(np.int32)
-            out -= np.bincount(at + SPAN, minlength=len(out)).astype(np.int32)
+        at = np.concatenate([position[bits >> o & 1 == 1] - o for o in range(REACH + 1)])
+        np.add.at(out, at, 1)
+        np.add.at(out, at + SPAN, -1)
         return out
 
     def apply(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

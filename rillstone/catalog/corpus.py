@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluation, features, models, sampling
+from ..plans.scratch import settle
 from ..plans.session import table
 from ..sources import readers
 from ..streaming import operators as streams
@@ -93,41 +94,87 @@ def quality_signals(spark, sf):
     return f.select("doc_id", "quality", *[F.round(c, 6).alias(c) for c in SIGNALS])
 
 
-def _split(spark, sf):
-    f = sampling.group_split(document_features(spark, sf).withColumn("bucket", F.col("doc_id") % 50), "bucket", 0.2)
-    f = f.withColumn("grade", 1 + 9 * F.col("quality")).repartition(4, "doc_id").sortWithinPartitions("doc_id")
+TRUSTED = 3.0  # weight of an answer whose label is not guessed from a share
+POINT = [
+    "token_overlap", "char_cosine", "cover_best", "cover_rank_norm", "kp_tokens_log", "kp_idf_mean", "others_cover_mean", "word_count_log", "mistake_sim_max", "question_echo",
+]
+
+
+def _rows(spark, sf) -> DataFrame:
+    a = answers(spark, sf)
+    weight = F.when(F.col("tier").startswith("partial"), 1.0).otherwise(TRUSTED)
+    return sampling.group_split(a.withColumn("weight", weight), "chunk_id", 0.2).withColumn("label", F.col("label").cast("double"))
+
+
+def _graded(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Answers with their sixteen features, label and weight; chunks held out together."""
+    rows = _rows(spark, sf)
+    f = features.answer_features(rows.select("row_id", "chunk_id", "answer"), chunks(spark, sf))
+    f = settle(f.join(rows.select("row_id", "chunk_id", "tier", "label", "weight", "held_out"), "row_id"), "answer-features")
+    f = f.repartition(4, "row_id").sortWithinPartitions("row_id")
+    return f.where("NOT held_out"), f.where("held_out")
+
+
+def _signals(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("row_id", "chunk_id", "tier", "label", "weight", "held_out")]
+
+
+def _points(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Key points of answers with their ten features and a verdict that follows from the recipe."""
+    rows = _rows(spark, sf)
+    f = features.keypoint_features(rows.select("row_id", "chunk_id", "answer"), chunks(spark, sf))
+    known = F.when(F.col("tier").isin("model_answer", "keypoint_recall", "paraphrase_lite"), "hit").when(F.col("tier").startswith("partial"), features.lexical_verdict(F.col("cover_best"))).otherwise(
+        F.when(F.col("tier").isin("vague", "vague_short", "question_echo", "off_topic", "off_topic_short"), "miss").otherwise(features.lexical_verdict(F.col("cover_best")))
+    )
+    f = f.join(rows.select("row_id", "tier", "weight", "held_out"), "row_id").withColumn("verdict", known)
+    f = settle(f, "point-features").repartition(4, "row_id", "pos").sortWithinPartitions("row_id", "pos")
     return f.where("NOT held_out"), f.where("held_out")
 
 
 @query()
 def ridge_metrics(spark, sf):
-    train, test = _split(spark, sf)
-    return evaluation.grade_metrics(models.clipped(models.ridge(train, SIGNALS, "grade").transform(test)), "grade", "prediction")
+    train, test = _graded(spark, sf)
+    return evaluation.grade_metrics(models.clipped(models.ridge(train, _signals(train), "label", "weight").transform(test)), "label", "prediction")
 
 
 @query()
 def boosted_metrics(spark, sf):
-    train, test = _split(spark, sf)
-    return evaluation.grade_metrics(models.clipped(models.boosted(train, SIGNALS, "grade", rounds=10).transform(test)), "grade", "prediction")
+    train, test = _graded(spark, sf)
+    return evaluation.grade_metrics(models.clipped(models.boosted(train, _signals(train), "label", "weight", rounds=40).transform(test)), "label", "prediction")
+
+
+def _verdict_model(train: DataFrame):
+    return models.verdicts(train, POINT, "verdict", "weight")
 
 
 @query()
 def rf_metrics(spark, sf):
-    train, test = _split(spark, sf)
-    verdict = F.when(F.col("quality") == 1, "hit").otherwise("miss")
-    model = models.verdicts(train.withColumn("verdict", verdict), SIGNALS, "verdict")
+    train, test = _points(spark, sf)
+    model = _verdict_model(train)
     names = F.array(*map(F.lit, model.stages[0].labels))
-    said = model.transform(test.withColumn("verdict", verdict)).withColumn("said", F.element_at(names, F.col("prediction").cast("int") + 1))
+    said = model.transform(test).withColumn("said", F.element_at(names, F.col("prediction").cast("int") + 1))
     return evaluation.label_scores(said, "verdict", "said")
 
 
+@query()
+def stacked_metrics(spark, sf):
+    """Ridge over the answer's features and what the classifier says about its key points."""
+    points, held = _points(spark, sf)
+    model = _verdict_model(points)
+    train, test = _graded(spark, sf)
+    signals = [*_signals(train), "frac_hit", "frac_partial", "hit_mean", "hit_min"]
+    add = lambda a, p: a.join(models.stacked(p, model, "row_id"), "row_id", "left").na.fill(0.0)
+    fitted = models.ridge(add(train, points), signals, "label", "weight")
+    return evaluation.grade_metrics(models.clipped(fitted.transform(add(test, held))), "label", "prediction")
+
+
 @query()
 def isotonic_fit(spark, sf):
-    train, test = _split(spark, sf)
     from ..functions.numeric import interpolate
 
-    xs, ys = models.isotonic(train, "symbols", "grade")
-    return test.select("doc_id", F.round(interpolate(F.col("symbols"), xs, ys), 6).alias("calibrated"))
+    train, test = _graded(spark, sf)
+    xs, ys = models.isotonic(train, "kp_cover_mean", "label")
+    return test.select("row_id", F.col("kp_cover_mean").alias("cover"), F.round(interpolate(F.col("kp_cover_mean"), xs, ys), 6).alias("calibrated"))
 
 
 @query()

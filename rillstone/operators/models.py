@@ -19,14 +19,19 @@ def ridge(train: DataFrame, features: list[str], label: str, weight: str | None
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), regression]).fit(train)
 
 
-def boosted(train: DataFrame, features: list[str], label: str, seed: int = 42, rounds: int = 30) -> PipelineModel:
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), GBTRegressor(featuresCol="raw", labelCol=label, maxIter=rounds, stepSize=0.1, maxDepth=4, seed=seed)]).fit(train)
+def boosted(train: DataFrame, features: list[str], label: str, weight: str | None = None, seed: int = 42, rounds: int = 300) -> PipelineModel:
+    """Boosted trees of 32 leaves at most."""
+    extra = {"weightCol": weight} if weight else {}
+    trees = GBTRegressor(featuresCol="raw", labelCol=label, maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=5, subsamplingRate=0.8, seed=seed, **extra)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), trees]).fit(train)
 
 
-def verdicts(train: DataFrame, features: list[str], label: str, seed: int = 42) -> PipelineModel:
+def verdicts(train: DataFrame, features: list[str], label: str, weight: str | None = None, seed: int = 42) -> PipelineModel:
     """Hit, partial or miss per key point."""
+    extra = {"weightCol": weight} if weight else {}
     index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
-    return Pipeline(stages=[index, VectorAssembler(inputCols=features, outputCol="raw"), RandomForestClassifier(featuresCol="raw", labelCol="label_index", numTrees=40, maxDepth=6, seed=seed)]).fit(train)
+    forest = RandomForestClassifier(featuresCol="raw", labelCol="label_index", numTrees=40, maxDepth=6, seed=seed, **extra)
+    return Pipeline(stages=[index, VectorAssembler(inputCols=features, outputCol="raw"), forest]).fit(train)
 
 
 def stacked(points: DataFrame, model: PipelineModel, by: str) -> DataFrame:

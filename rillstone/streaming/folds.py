@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import pickle
 import re
 from typing import NamedTuple
 
@@ -145,11 +144,30 @@ class Reservation:
         return "ok"
 
 
-def freeze(machine) -> bytes:
-    return pickle.dumps(machine.__dict__)
+#: What a machine's state consists of: field -> how it comes back from JSON.  Settings are not state.
+_pairs = lambda pairs: {k: v for k, v in pairs}
+STATE = {
+    Endpoints: {"now": lambda fields: Listening(**fields)},
+    Turn: {"text": str, "given": int},
+    Reconciler: {"committed": float, "interim": lambda x: x, "finals": list},
+    Reservation: {"used": _pairs, "calls": _pairs, "total": int},
+}
 
 
-def thaw(kind, data: bytes):
-    out = kind.__new__(kind)
-    out.__dict__.update(pickle.loads(data))
-    return out
+def freeze(machine) -> str:
+    """The state as JSON, field by field: readable, and only data when it is read back."""
+
+    def plain(x):
+        return x._asdict() if isinstance(x, tuple) and hasattr(x, "_asdict") else list(map(list, x.items())) if isinstance(x, dict) else x
+
+    return json.dumps({name: plain(getattr(machine, name)) for name in STATE[type(machine)]})
+
+
+def thaw(machine, data: str):
+    """``machine``, freshly made, in the stored state; a field that the state lacks keeps its beginning, one
+    that is no longer known is left out."""
+    stored = json.loads(data)
+    for name, back in STATE[type(machine)].items():
+        if name in stored:
+            setattr(machine, name, back(stored[name]))
+    return machine

@@ -25,13 +25,15 @@ def fold_batch(df: DataFrame, key: str, order: str, make: Callable, step: Callab
 
 
 def fold_stream(df: DataFrame, key: str, order: str, make: Callable, step: Callable, schema: str, idle: str | None = None, last: Callable | None = None) -> DataFrame:
-    """The same over a stream: the machine is the key's state; with ``idle`` (milliseconds of processing
+    """The same over a stream: the machine is the key's state, stored as JSON.  Rows are in order within a
+    trigger; what arrives a trigger later comes after, so the source has to keep a key's order across
+    triggers (one partition per key, as a log does).  With ``idle`` (milliseconds of processing
     time) the key's state ends and ``last(key, machine)`` gives its final rows."""
     names = [c.split()[0] for c in schema.split(", ")]
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def run(key_, batches, state: GroupState):
-        machine = folds.thaw(type(make()), bytes(state.get[0])) if state.exists else make()
+        machine = folds.thaw(make(), state.get[0]) if state.exists else make()
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame(last(key_[0], machine) if last else [], columns=names)
@@ -45,7 +47,7 @@ def fold_stream(df: DataFrame, key: str, order: str, make: Callable, step: Calla
             state.setTimeoutDuration(int(idle))
         yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "machine binary", "append", timeout)
+    return df.groupBy(key).applyInPandasWithState(run, schema, "machine string", "append", timeout)
 
 
 ENDPOINT = ("session long, frame_no long, event string", lambda m, r: [(r.session, r.frame_no, e) for e in m.feed(r.prob)])
@@ -71,6 +73,9 @@ def reserve(calls: DataFrame, quota: int, key_cap: int, server_cap: int, streami
     return f(calls, "day", "seq", lambda: folds.Reservation(quota, key_cap, server_cap), QUOTA[1], QUOTA[0])
 
 
+FINAL = ("session long, end double, text string", lambda m, r: [(r.session, e, t) for e, t in m.feed(r.kind, r.end, r.text)])
+
+
 def reconcile(segments: DataFrame) -> DataFrame:
     """(session, text): finals in order of arrival and the newest interim, late segments dropped."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -82,6 +87,15 @@ def reconcile(segments: DataFrame) -> DataFrame:
     return segments.groupBy("session").applyInPandas(run, "session long, text string")
 
 
+def reconciled(segments: DataFrame, streaming: bool = False, idle: str | None = None) -> DataFrame:
+    """(session, end, text): each final segment as it is accepted; on a stream with ``idle`` (milliseconds), a
+    session that ends with an interim gives it last, with the committed time."""
+    if not streaming:
+        return fold_batch(segments, "session", "seq", folds.Reconciler, FINAL[1], FINAL[0])
+    last = lambda key, m: [(key, m.committed, m.interim)] if m.interim else []
+    return fold_stream(segments, "session", "seq", folds.Reconciler, FINAL[1], FINAL[0], idle, last)
+
+
 def tumbling(events: DataFrame, size: str, late: str = "10 minutes", ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
     """Counts per window and key; late rows beyond the watermark are dropped on streams."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")

@@ -32,7 +32,7 @@ from .rows import version_of, without
 
 WINDOW, COVERAGE = 8, 0.8
 SEED, SHIFT = 4, 0.2  # embedded items: words of a window; by how many of an item's words diagonals may lie apart
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 100_000  # of some 300 bytes each, words and slots included
 
 # Unit words that count as such right after a number.
 UNITS = (

@@ -47,8 +47,9 @@ def lines(spark, sf):
 @query(f"""SELECT doc_id, n::INTEGER AS n, {ladder("lower(line)", (("followup", text.FOLLOWUP), *text.CATEGORIES), "'behavioral'")} AS category,
 {ladder("lower(line)", text.INTENTS, "NULL")} AS intent, {ladder("lower(line)", [(m, p) for p, m in text.KEYWORD_MODULES], q(text.DEFAULT_MODULE))} AS module FROM {LINES}""")
 def classify_ladder(spark, sf):
-    line = F.col("line")
-    return lines(spark, sf).select("doc_id", "n", text.classify(line).alias("category"), text.intent_of(line).alias("intent"), text.module_for(line).alias("module"))
+    low = F.col("low")
+    rows = lines(spark, sf).select("doc_id", "n", F.lower("line").alias("low"))
+    return rows.select("doc_id", "n", text.classify(low, True).alias("category"), text.intent_of(low, True).alias("intent"), text.module_for(low, True).alias("module"))
 
 
 @query(f"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, {q(text.CJK)})) = 0 THEN 'en' WHEN len(regexp_extract_all(text, {q(text.CJK)})) > length(text) / 3 THEN 'zh' ELSE 'mixed' END AS language FROM documents")

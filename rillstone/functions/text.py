@@ -160,16 +160,17 @@ def ladder(text: Column, rules, default: Column) -> Column:
     return out.otherwise(default)
 
 
-def classify(text: Column) -> Column:
-    return ladder(F.lower(text), (("followup", FOLLOWUP), *CATEGORIES), F.lit("behavioral"))
+def classify(text: Column, lowered: bool = False) -> Column:
+    """Category of a question; ``lowered`` says that the text is in lower case, which saves doing it per rung."""
+    return ladder(text if lowered else F.lower(text), (("followup", FOLLOWUP), *CATEGORIES), F.lit("behavioral"))
 
 
-def intent_of(text: Column) -> Column:
-    return ladder(F.lower(text), INTENTS, F.lit(None).cast("string"))
+def intent_of(text: Column, lowered: bool = False) -> Column:
+    return ladder(text if lowered else F.lower(text), INTENTS, F.lit(None).cast("string"))
 
 
-def module_for(text: Column) -> Column:
-    return ladder(F.lower(text), [(m, p) for p, m in KEYWORD_MODULES], F.lit(DEFAULT_MODULE))
+def module_for(text: Column, lowered: bool = False) -> Column:
+    return ladder(text if lowered else F.lower(text), [(m, p) for p, m in KEYWORD_MODULES], F.lit(DEFAULT_MODULE))
 
 
 def cjk_count(text: Column) -> Column:

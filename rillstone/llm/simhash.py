@@ -4,15 +4,13 @@ A fingerprint has 64 bits, seen as 8 positional bytes.  Two fingerprints that di
 ``max_bits`` bits differ in at most that many bytes, so they share at least ``8 - max_bits`` = m positional
 bytes.  Postings of single bytes hold 1/256 of all rows, and counting their pairs grows with the square of
 the input; the index is keyed by m - 1 positional bytes at a time instead (70 keys of 32 bits for 3 bits).
-A pair with m bytes in common meets under m of these keys at least: the guaranteed minimum matches.  How
-often each pair meets is tallied, pairs below the minimum go, and the others are verified by their
-differing bits.
+A pair with m bytes in common meets under m of these keys at least.  For the pairs that meet under a key the
+shared positional bytes are tallied, pairs below the guaranteed minimum go, and the others are verified by
+their differing bits; only links from each component of the list to its smallest member leave the task,
+so a group of n near copies sends some n links for each key, not its pairs.
 
-Long posting lists (more than LONG) are not written out as pairs: there, links from each component of the
-list to its smallest member are found and verified on the spot, by comparing blocks or, beyond ALL_PAIRS,
-by looking up the neighbours of each fingerprint, which is linear.  Such links count as the minimum at
-once, so no pair depends on a tally that a long list has left out.  Equal fingerprints are one entry
-throughout.
+Posting lists of more than ALL_PAIRS fingerprints are linked by looking up the neighbours of each one
+rather than by comparing pairs, which is linear.  Equal fingerprints are one entry throughout.
 
 Cases: null and empty texts and texts without words have fingerprint zero and are linked like any
 other; a text of fewer words than a shingle is one shingle; repeated rows and repeated ids get the same
@@ -24,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +35,6 @@ from .rows import held
 
 BITS, BYTES, SEED = 64, 8, 42
 SHINGLE, MAX_BITS = 3, 3
-LONG = 48  # posting lists up to here give their pairs to the tally
 ALL_PAIRS = 3000  # posting lists up to here are compared pair by pair, in blocks
 BLOCK = 1024
 HASHES = 400_000  # shingles of one text whose bits are counted at once
@@ -103,9 +99,11 @@ def _forest(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, n, BLOCK):
             block = prints[at : at + BLOCK]
             for other in range(at, n, BLOCK):
-                differing = np.bitwise_count(block[:, None] ^ prints[None, other : other + BLOCK])
-                a, b = np.nonzero(differing <= max_bits)
-                join(a + at, b + other)
+                differing = block[:, None] ^ prints[None, other : other + BLOCK]
+                shared = (differing.view(np.uint8).reshape(*differing.shape, BYTES) == 0).sum(axis=2)
+                a, b = np.nonzero(shared >= BYTES - max_bits)
+                near = np.bitwise_count(differing[a, b]) <= max_bits
+                join(a[near] + at, b[near] + other)
     else:
         used = int(np.bitwise_or.reduce(prints ^ prints[0]))
         bits = [1 << k for k in range(BITS) if used >> k & 1]
@@ -125,7 +123,6 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     differ in at most ``max_bits`` bits."""
     shared = BYTES - max_bits
     width = max(1, shared - 1)
-    least = comb(shared, width)
     masks = [sum(0xFF << 8 * k for k in kept) for kept in combinations(range(BYTES), width)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     posting = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)]))
@@ -135,24 +132,26 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     index = prints.repartition(parts, F.xxhash64("fp")).select("fp", posting.alias("p")).select("fp", "p.at", "p.key")
     lists = index.groupBy("at", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
-    def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A pair for each time it meets in a short list; the verified links of a long one, with the minimum."""
+    def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            us, vs, ns = [], [], []
+            us, vs = [], []
             for fps in batch.column(0):
                 fp = np.sort(np.array(fps.values, np.int64).view(np.uint64))
-                if len(fp) <= LONG:
-                    a, b = np.triu_indices(len(fp), 1)
-                else:
-                    a, b = _forest(fp, max_bits)
+                if len(fp) == 2:
+                    differing = int(fp[0] ^ fp[1])
+                    shared = sum(not differing >> 8 * k & 0xFF for k in range(BYTES))
+                    if shared >= BYTES - max_bits and differing.bit_count() <= max_bits:
+                        us.append(fp[:1])
+                        vs.append(fp[1:])
+                    continue
+                a, b = _forest(fp, max_bits)
                 us.append(fp[a])
                 vs.append(fp[b])
-                ns.append(np.full(len(a), 1 if len(fp) <= LONG else least))
-            u, v = (np.concatenate(x).view(np.int64) for x in (us, vs)) if us else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate(ns) if ns else u, pa.int64())], ["u", "v", "n"])
+            if us:
+                u, v = (np.concatenate(x).view(np.int64) for x in (us, vs))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    tallied = lists.select("fps").mapInArrow(meet, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return tallied.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
+    return lists.select("fps").mapInArrow(verify, "u long, v long").distinct()
 
 
 def near_duplicates(

@@ -22,10 +22,12 @@ SCHEMA = "block long, ids array<long>, versions array<long>, tags array<string>,
 
 
 def pack(
-    docs: DataFrame, encode: Callable[[str], bytes], id_col: str, text_col: str, tag_col: str | None = None, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, encode: Callable[[str], bytes], id_col: str, text_col: str, tag_col: str | None = None, block_bytes: int = BLOCK_BYTES,
+    width: int = 1, level: int = 1,
 ) -> DataFrame:
     """Blocks of about ``block_bytes`` encoded bytes (one long text may be more).  ``versions`` holds the
-    hash of each text, so that rows which share an id stay apart; ``tags`` the tag column.
+    hash of each text, so that rows which share an id stay apart; ``tags`` the tag column.  ``encode`` gives
+    characters of ``width`` bytes, whose first bytes, second bytes and so on are compressed together.
 
     Block ids are random: the table is written once and only read from then on.  It is bucketed by block,
     some 16 MB of text to a bucket, so that joins on the block do not move the texts.
@@ -41,7 +43,8 @@ def pack(
 
         def flush() -> pa.RecordBatch:
             row = {"block": int.from_bytes(os.urandom(8), "little", signed=True), "ids": held[0], "versions": held[1], "tags": held[2]}
-            row |= {"lengths": [len(x) for x in held[3]], "blob": pa.compress(b"".join(held[3]), codec="zstd", asbytes=True)}
+            planes = np.ascontiguousarray(np.frombuffer(b"".join(held[3]), np.uint8).reshape(-1, width).T)
+            row |= {"lengths": [len(x) for x in held[3]], "blob": pa.Codec("zstd", compression_level=level).compress(planes.tobytes(), asbytes=True)}
             return pa.RecordBatch.from_pylist([row], schema)
 
         held, size = ([], [], [], []), 0
@@ -63,7 +66,10 @@ def pack(
         return settle_bucketed(rows.toDF("id", "version", "tag", "text").mapInArrow(run, SCHEMA), "blocks", "block", buckets)
 
 
-def unpack(blob: bytes, lengths: list[int]) -> np.ndarray:
+def unpack(blob: bytes, lengths: list[int], width: int = 1) -> np.ndarray:
     """The encoded bytes of a block."""
     total = int(np.sum(lengths, dtype=np.int64))
-    return np.frombuffer(pa.decompress(blob, decompressed_size=total, codec="zstd", asbytes=True), np.uint8) if total else np.zeros(0, np.uint8)
+    if not total:
+        return np.zeros(0, np.uint8)
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=total, codec="zstd", asbytes=True), np.uint8)
+    return planes if width == 1 else np.ascontiguousarray(planes.reshape(width, -1).T).ravel()

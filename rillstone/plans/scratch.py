@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -48,6 +49,7 @@ def settle(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     path = fresh_path(spark, tag)
     with setting(spark, CLEANUP, "true"):
         df.write.option("compression", compression).parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,9 +61,17 @@ def settle_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFram
     name = f"rillstone_{path.rpartition('-')[2]}"
     with setting(spark, CLEANUP, "true"):
         df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    release(spark)
     return spark.table(name)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop what plans that nothing refers to any more have left in the executors'
+    memory (broadcasts of tables and functions); their shuffle files have gone with the writes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """While this holds, the session's setting ``key`` is ``value``."""

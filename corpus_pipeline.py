@@ -41,8 +41,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more)
-    stays: the one with the smallest id.  Texts without words are copies of each other; rows without an id
+    """One document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more, found by
+    SimHash and, beyond its bits, by a prefix filter) stays: the one with the smallest id.  Texts without words are copies of each other; rows without an id
     stay only where a group has no other; of rows that repeat id and text one stays."""
     return nearcopies.keep_one(docs)
 

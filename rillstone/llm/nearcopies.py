@@ -1,14 +1,19 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found with a prefix filter.
+"""Near copies by the Jaccard similarity of word shingles: SimHash first, an exact filter for what it leaves.
 
-A text is the set of its SHINGLE-word shingles, hashed to 64 bits.  Two sets of a Jaccard similarity of
+A text is the set of its SHINGLE-word shingles, hashed to 64 bits.  Its SimHash is looked up in the index of
+``simhash``: pairs that differ in few bits are compared exactly, set with set, and linked if they are similar.
+Similar sets may differ in more bits than an index can guarantee to find, so pairs in different components go
+through a prefix filter besides.
+
+Two sets of a Jaccard similarity of
 SIMILAR at least share at least SIMILAR of the elements of either, so under any fixed order of all
 elements they meet among the first ``n - ceil(SIMILAR * n) + 1`` of each: these are the index.  No pair is
 missed, whatever the order; the order puts elements last that are frequent in a sample of the texts, so
 that posting lists are short.  Two sets share at most what they share among these and the rest of one
-of them; pairs for which that is enough are compared exactly, set with set.
+of them; pairs for which that is enough are compared exactly as well.
 
 Texts with the same set are one entry throughout.  Members of long posting lists are compared with
-hubs of their list first, as a shortcut; then all pairs that meet and lie in different components are
+hubs of their list together with SimHash's pairs; then all pairs that meet and lie in different components are
 counted, so a group of n near copies costs about n comparisons.
 
 Cases: null and empty texts and texts without words have no shingles and are copies of each other; a
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from ..plans.broadcasts import small_side
 from ..plans.scratch import settle, short_batches
 from .components import components
-from .simhash import SEED, one_of_each
+from .simhash import SEED, links, majority, one_of_each
 
 SHINGLE = 5
 UP, DOWN = 4, 5  # SIMILAR = UP / DOWN = 0.8, in whole numbers
@@ -84,17 +89,19 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, version, key, n, first): each text's set by its hash, its size, and its elements in the index."""
+    """(doc_id, version, key, n, fp, first): each text's set by its hash, its size, its SimHash, and its elements
+    in the index."""
     hashes, ranks = _frequent(rows, shingle)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            keys, sizes, firsts = [], [], []
+            keys, sizes, prints, firsts = [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py(), shingle)
                 n = len(found)
                 keys.append(_key(found))
                 sizes.append(n)
+                prints.append(majority([found.view(np.uint64)]))
                 rank = np.zeros(n, np.int64)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
@@ -102,11 +109,21 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
                 count = n - (UP * n + DOWN - 1) // DOWN + 1 if n else 0
                 firsts.append(found[np.argsort(rank, kind="stable")[:count]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-                ["doc_id", "version", "key", "n", "first"],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
+                 pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64()))],
+                ["doc_id", "version", "key", "n", "fp", "first"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, version long, key long, n int, first array<long>")
+    return rows.mapInArrow(run, "doc_id long, version long, key long, n int, fp long, first array<long>")
+
+
+def _alike(sets: DataFrame) -> DataFrame:
+    """(u, v): pairs that connect the sets whose SimHashes differ in few bits, those of equal ones included."""
+    keys = sets.select("key", "fp").distinct()
+    least = keys.groupBy("fp").agg(F.min("key").alias("rep"))
+    near = links(least.select("fp")).join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").select("a", "b")
+    equal = keys.join(least, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    return near.union(equal).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def _pairs(index: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -178,12 +195,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = settle(_sets(rows, shingle), "shingle-sets")
     classes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("version").alias("version"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = settle(_alike(sets), "alike")
     firsts = sets.select("key", "n", "first").dropDuplicates(["key"]).repartition(parts, F.xxhash64("key"))
     index = firsts.select("key", "n", F.explode("first").alias("hash"))
     # most elements are in one text: only lists are kept
     lists = index.groupBy("hash").agg(F.collect_list(F.struct("key", "n")).alias("of")).where(F.size("of") > 1)
     index = settle(lists.select("hash", F.explode("of").alias("x")).select("hash", "x.*"), "index")
-    near = _linked(_pairs(index), rows, classes, shingle)
+    near = _linked(alike.union(_pairs(index)).distinct(), rows, classes, shingle)
     rest = _linked(_pairs(index, components(near)), rows, classes, shingle)
     roots = components(near.union(rest))
     rooted = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))

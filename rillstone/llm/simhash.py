@@ -20,7 +20,7 @@ table gives an empty result.  Only id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,11 +52,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
     ends = (ends - 1).tolist()
     digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, HASHES):
-        stop = min(n, at + HASHES)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:stop], ends[at + shingle - 1 : stop + shingle - 1])], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    pieces = range(0, n, HASHES)
+    hashes = lambda at, stop: [digest(joined[a:b], SEED) for a, b in zip(starts[at:stop], ends[at + shingle - 1 : stop + shingle - 1])]
+    return majority(np.array(hashes(at, min(n, at + HASHES)), np.uint64) for at in pieces)
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes (64 bits each) that come in pieces: bits that are set in over half of them."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in pieces:
+        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 

@@ -47,6 +47,21 @@ def test_near_copies(spark, monkeypatch, long):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_near_copies_by_simhash(spark, monkeypatch):
+    """Similar texts within 3 bits are linked by SimHash; others within 3 bits fail the exact check."""
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["x"]), " ".join(words[::-1])]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    asked = []
+    plain = nearcopies.links
+    monkeypatch.setattr(nearcopies, "links", lambda prints, *a: asked.append(prints.count()) or plain(prints, *a))
+    monkeypatch.setattr(nearcopies, "_pairs", lambda index, roots=None: spark.createDataFrame([], "u long, v long"))  # SimHash alone
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2} and asked
+    monkeypatch.setattr(nearcopies, "majority", lambda pieces: 7)  # all prints equal
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs(spark, rows)).collect()} == got
+
+
 def test_near_copies_odd_cases(spark):
     kept = nearcopies.keep_one(docs(spark, ODD))
     assert kept.columns == docs(spark, []).columns
